@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import quality_rules
+from storyloom.llm import line_dedup, quality_rules
 
 _MODULES = {
     "op2_quality_rules": quality_rules,
+    "op5_line_dedup": line_dedup,
 }
 
 
