@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import line_dedup, quality_rules
+from storyloom.llm import fingerprint, line_dedup, quality_rules
 
 _MODULES = {
     "op2_quality_rules": quality_rules,
     "op5_line_dedup": line_dedup,
+    "op9_fingerprint": fingerprint,
 }
 
 
