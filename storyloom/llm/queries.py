@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import fingerprint, line_dedup, packing, quality_rules
+from storyloom.llm import bpe, fingerprint, line_dedup, packing, quality_rules
 
 _MODULES = {
     "op2_quality_rules": quality_rules,
     "op4_packing": packing,
     "op5_line_dedup": line_dedup,
     "op9_fingerprint": fingerprint,
+    "op10_bpe": bpe,
 }
 
 
