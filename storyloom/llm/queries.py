@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, fingerprint, line_dedup, packing, quality_rules, secrets
+from storyloom.llm import bpe, fingerprint, line_dedup, lm, packing, quality_rules, secrets
 
 _MODULES = {
     "op2_quality_rules": quality_rules,
     "op4_packing": packing,
     "op5_line_dedup": line_dedup,
+    "op6_lm": lm,
     "op8_secrets": secrets,
     "op9_fingerprint": fingerprint,
     "op10_bpe": bpe,
