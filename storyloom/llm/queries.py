@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, fingerprint, line_dedup, lm, near_dedup, packing, quality_rules, secrets
+from storyloom.llm import bpe, fingerprint, line_dedup, lm, near_dedup, packing, pii, quality_rules, secrets
 
 _MODULES = {
     "op1_near_dedup": near_dedup,
     "op2_quality_rules": quality_rules,
+    "op3_pii": pii,
     "op4_packing": packing,
     "op5_line_dedup": line_dedup,
     "op6_lm": lm,
