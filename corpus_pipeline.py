@@ -1,10 +1,60 @@
-"""From raw documents to packed token sequences, in five stages; filled in with the operators of ``storyloom.llm``."""
+"""From raw documents to packed token sequences, in five stages.
+
+Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet in the shared folder and read again as the next stage's docs. All
+but the last return the columns of ``documents``; their decisions take effect.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyloom.llm import line_dedup, near_dedup, packing, quality_rules, secrets
+from storyloom.llm.common import documents, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a rule go."""
+    return quality_rules.keep_good(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines that five documents or more share stay in one of them."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return near_dedup.keep_one(docs)
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kinds."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    p = packing.pack(docs, packing.default_tokenizer())
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("secret scan", secret_spans),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs
+
+
+#: Near duplicates and packing are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
