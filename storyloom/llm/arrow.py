@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once in a Python worker; a longer text makes a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def pieces(batches, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

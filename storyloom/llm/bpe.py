@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -69,18 +70,24 @@ class TextEncoder:
     """A Python worker's encoder; it outlives a task."""
 
     def __init__(self, path: str, lexicon: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.bpe, self.lexicon = Tokenizer.from_file(path), ByteBPE(path), Lexicon(lexicon)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path, self.bpe, self.lexicon = path, ByteBPE(path), Lexicon(lexicon)
         self.table = WordTable(self._words)
 
     @staticmethod
     def of(path: str, lexicon: str) -> TextEncoder:
         return _encoders.get((path, lexicon)) or _encoders.setdefault((path, lexicon), TextEncoder(path, lexicon))
 
+    @cached_property
+    def tokenizer(self):
+        """The library, loaded where a text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         number = self.lexicon.find(words)
         known = number >= 0
@@ -142,19 +149,26 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+class TextDecoder:
+    def __init__(self, tokenizer: str) -> None:
+        tokens = token_bytes(tokenizer)
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The text of each run of ids (the i-th lies between offsets i and i + 1)."""
+        size = self.size[ids]
+        return _texts(np.concatenate([[0], np.cumsum(size)])[offsets], gather(self.start[ids], size, self.flat))
+
+
 def decode(df: DataFrame, tokenizer: str) -> DataFrame:
     """The rows of ``encode`` with ``decoded``, the text of the ids; bytes that are no UTF-8 become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = token_bytes(tokenizer)
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(tokens), np.uint8)
+        reader = TextDecoder(tokenizer)
         for b in pieces(batches, "ids"):
             offsets, data = byte_offsets(b.column(1))
-            ids = np.frombuffer(data.tobytes(), np.uint32)
-            text = gather(start[ids], size[ids], flat)
-            at = np.concatenate([[0], np.cumsum(size[ids])])[offsets // 4]
-            yield pa.RecordBatch.from_arrays([*b.columns, _texts(at, text)], ["doc_id", "ids", "n_tokens", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, reader.decode(offsets // 4, np.frombuffer(data.tobytes(), np.uint32))], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return df.mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
 
@@ -172,7 +186,20 @@ def _texts(at: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.string())
 
 
+def round_trip(df: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
+    """``encode`` and then ``decode`` in one Python worker a task: (doc_id, ids, n_tokens, decoded)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, reader = TextEncoder.of(tokenizer, SparkFiles.get(lexicon)), TextDecoder(tokenizer)
+        for b in pieces(batches):
+            n, ids = coder.encode(b.column(1))
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), as_binary(ends, ids), pa.array(n), reader.decode(np.concatenate([[0], ends]), ids)], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, path = documents(spark, sf_dir), default_tokenizer()
-    out = decode(encode(d, path, build_lexicon(d, path)), path)
+    out = round_trip(d, path, build_lexicon(d, path))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -76,7 +76,7 @@ class WordTable:
     encoded by itself. Beyond ``most`` words the table starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
