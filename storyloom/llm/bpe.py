@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.arrow import as_binary, byte_offsets, gather, pieces
 from storyloom.llm.bytebpe import ByteBPE, byte_letters, simple_texts, spaced_word_spans
-from storyloom.llm.common import documents, shared_dir, text_of
+from storyloom.llm.common import documents, most_frequent, shared_dir, text_of, written
 from storyloom.llm.lexicon import Lexicon, compile_lexicon
 from storyloom.llm.spans import WordTable
 
@@ -44,8 +44,8 @@ def default_tokenizer() -> str:
 def frequent_words(df: DataFrame, n: int = LEXICON_WORDS) -> list[bytes]:
     """The n most frequent words of all texts, in Spark's own functions; n bounds what the driver gets."""
     words = df.select(F.explode(F.regexp_extract_all(text_of(), F.lit(r" ?\p{L}+| ?[^\s\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    top = words.filter(F.octet_length("w") <= ByteBPE.LONG).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n)
-    return [r["w"].encode() for r in top.collect()]
+    counts = written(words.filter(F.octet_length("w") <= ByteBPE.LONG).groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "words")
+    return sorted(r["w"].encode() for r in most_frequent(counts, "n", n).select("w").collect())
 
 
 def build_lexicon(df: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> str:

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm.arrow import byte_offsets, pieces
-from storyloom.llm.common import documents, written
+from storyloom.llm.common import documents, most_frequent, written
 from storyloom.llm.spans import hash_spans, word_spans
 
 #: Words whose counts go to every task; classes of single words and of endings.
-HEAD, SINGLE, TAIL = 1 << 18, 511, 512
+HEAD, SINGLE, TAIL = 1 << 17, 511, 512
 END = SINGLE  # the class of a text's end, and of what stands before its first word
 CLASSES = SINGLE + 1 + TAIL
 ADD = 0.1
@@ -208,14 +208,14 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
     sc = train.sparkSession.sparkContext
     total = counts.agg(F.sum("c"), F.count("*")).first()
     ends = train.count()
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
-    head = Head(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), top["k"].to_numpy(np.int64))
+    top = most_frequent(counts, "c", HEAD).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+    head = Head(top["h"].to_numpy().view(np.uint64), top["c"].to_numpy(), top["k"].to_numpy().astype(np.int64))
     shared = sc.broadcast(head)
     pairs = np.zeros(CLASSES * CLASSES)
-    got = pair_counts(train, shared).toPandas()
+    got = pair_counts(train, shared).toArrow()
     pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
     mass = np.full(CLASSES, ADD)
-    in_class = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
+    in_class = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
     mass[in_class["k"].to_numpy()] += in_class["c"].to_numpy() + ADD * in_class["n"].to_numpy()
     np.subtract.at(mass, top["k"].to_numpy()[:SINGLE], top["c"].to_numpy()[:SINGLE] + ADD)  # they are classes of their own
     mass = np.maximum(mass, ADD)
