@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import bpe, fingerprint, line_dedup, lm, near_dedup, packing, pii, quality_rules, secrets
+from storyloom.llm import bpe, fingerprint, line_dedup, lm, near_dedup, packing, pii, quality_rules, secrets, substring_dedup
 
 _MODULES = {
     "op1_near_dedup": near_dedup,
@@ -15,6 +15,7 @@ _MODULES = {
     "op4_packing": packing,
     "op5_line_dedup": line_dedup,
     "op6_lm": lm,
+    "op7_substring_dedup": substring_dedup,
     "op8_secrets": secrets,
     "op9_fingerprint": fingerprint,
     "op10_bpe": bpe,
