@@ -551,7 +551,7 @@ def _(spark, d):
     return edges(spark, d).select("src", "dst", "key", "relation", "confidence", "evidence")
 
 
-@query("g2_g3_g9_totals", sql("select count(*) as n_nodes, (sum(degree) / 2)::bigint as n_edges, round(avg(degree), 6) as avg_degree, max(degree) as max_degree, round((sum(degree) / 2) / (count(*) * (count(*) - 1))::double, 6) as density, 'dense' as density_label from deg", "deg"))
+@query("g2_g3_g9_totals", sql("select *, case when density < .01 then 'very_sparse' when density < .05 then 'sparse' when density < .2 then 'moderate' else 'dense' end as density_label from (select count(*) as n_nodes, (sum(degree) / 2)::bigint as n_edges, round(avg(degree), 6) as avg_degree, max(degree) as max_degree, round((sum(degree) / 2) / (count(*) * (count(*) - 1))::double, 6) as density from deg)", "deg"))
 def _(spark, d):
     return graph.totals(edges(spark, d)).withColumn("avg_degree", F.round("avg_degree", 6)).withColumn("density", F.round("density", 6))
 
