@@ -26,20 +26,18 @@ def with_group(df: DataFrame, keys: list[str], spread: str, sums: dict[str, tupl
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, class): the least node of the component of each node that has an edge.
 
-    Edges turn into stars around ever smaller nodes (all larger neighbours to the
-    least one, then all smaller ones), in rounds that grow with the logarithm of the
-    longest path; each round is a table in the shared folder.
+    Each round a node takes the least label of its neighbours and then that label's own,
+    so that labels jump; the rounds grow with the logarithm of the longest path. A round is
+    a table in the shared folder. A hub is spread: its edges meet its label in a join that
+    Spark may split, and minima are taken before they meet.
     """
-    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
+    links = written(edges.select(F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v"), "edges")
+    label = written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("class")), "labels")
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_group(both, ["u"], "v", {"m": (F.col("v"), F.min)}).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
-        small = with_group(large, ["u"], "v", {"m": (F.col("v"), F.min)})
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = written(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == mark:
-            break
-        mark = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("class")).union(e.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
+        seen = links.join(label, links["v"] == label["node"]).groupBy("u").agg(F.min("class").alias("m"))
+        step = label.join(seen, label["node"] == seen["u"]).select("node", F.col("class").alias("was"), F.least("class", "m").alias("m"))
+        jump = step.join(label.select(F.col("node").alias("m"), F.col("class").alias("j")), "m", "left")
+        new = written(jump.select("node", "was", F.least("m", F.coalesce("j", "m")).alias("class")), "labels")
+        label = new.select("node", "class")
+        if new.filter("was <> class").isEmpty():
+            return label

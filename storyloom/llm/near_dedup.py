@@ -12,13 +12,16 @@ same (shingle, t) with the probability of their weighted Jaccard similarity. The
 r, c, beta come from a table by a hash of the shingle, and weights are rounded to
 eighths of an octave for the draw (not for the check). 16 bands of 4 samples make buckets.
 
-Texts with equal shingles are one node. In each bucket three members are centres, and
+Texts with equal shingles are one node. In each bucket two members are centres, and
 each member is compared with them by exact weighted Jaccard similarity; links join nodes to
-classes. A bucket is done when it lies in one class, which for nearly all is at once.
-In what is left, members are dealt by their total weight, as texts whose totals differ
-by more than the threshold allows are less alike than that, and each round compares all
-with 32 more members, those of the bucket's smallest classes first, and takes these
-out, until nothing is left: no link within a bucket is lost, and nothing is capped.
+classes. A few bands are joined first, so that large groups of copies are classes before
+the others. A bucket is done when it lies in one class, which for nearly all is at once.
+In what is left, members of small buckets are dealt by their total weight, as texts whose
+totals differ by more than the threshold allows are less alike than that; members of large
+ones (texts around one common passage, mostly) are bucketed anew by 64 tables of 10 samples,
+which miss one pair in 1400 at the threshold. Each round compares all with 32 more
+members (2 in a bucket of more than 64), those of the bucket's smallest classes first,
+and takes these out, until nothing is left or a round adds less than a thousandth to the links.
 
 Defined cases: a null or empty text has no shingles, and all such texts are one class;
 rows with the same ``doc_id`` are one document and end up in one class; a null
@@ -46,7 +49,13 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 DF_BITS, DAMP = 18, 0.25
 _VARIATES, _LEVELS, _PER_OCTAVE = 1 << 14, 64, 8
-CENTRES, MORE_CENTRES = 3, 32
+CENTRES, MORE_CENTRES = 2, 32
+#: Bands whose buckets are joined first; and from how many members on a bucket has few centres.
+FIRST_BANDS, LARGE = 2, 64
+#: The finer buckets of what large ones leave: tables of so many of the 64 samples.
+TABLES, PER_TABLE = 64, 10
+#: A round that adds a smaller share of links ends the search.
+FEW = 0.001
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +94,7 @@ def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["counter", "n"])
 
-    got = df.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    got = df.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(1 << DF_BITS)
     n[got["counter"].to_numpy()] = got["n"].to_numpy()
     return n, df.count()
@@ -130,7 +139,7 @@ def _sums(begin: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, begin)
 
 
-SIGNED = "doc_id long, k1 long, k2 long, weight double, bands array<long>"
+SIGNED = "doc_id long, k1 long, k2 long, weight double, bands array<long>, samples binary"
 
 
 def signatures(df: DataFrame, idf) -> DataFrame:
@@ -143,6 +152,7 @@ def signatures(df: DataFrame, idf) -> DataFrame:
             text, h, tf = shingles(b.column(1))
             k1, k2 = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64)
             bands = np.zeros((len(b), BANDS), np.uint64)
+            samples = np.zeros((len(b), BANDS * ROWS), np.uint32)
             full, total = np.zeros(len(b), bool), np.zeros(len(b))
             if len(h):
                 at, begin = np.unique(text, return_index=True)
@@ -151,14 +161,15 @@ def signatures(df: DataFrame, idf) -> DataFrame:
                 k1[at], k2[at] = _sums(begin, mix(h + t)), _sums(begin, mix(h * np.uint64(0x9E3779B97F4A7C15) + t))
                 w = weights(h, tf, idf.value)
                 total[at] = _sums(begin, w)
-                drawn = sampler.draw(begin, h, w).astype(np.uint64).reshape(len(at), BANDS, ROWS)
+                samples[at] = sampler.draw(begin, h, w)
+                drawn = samples[at].astype(np.uint64).reshape(len(at), BANDS, ROWS)
                 key = np.zeros((len(at), BANDS), np.uint64)
                 for r in range(ROWS):
                     key = mix(key + drawn[:, :, r] + salt)
                 bands[at] = key
             count = np.where(full, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(bands[full].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), lists], ["doc_id", "k1", "k2", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), lists, as_binary(np.arange(1, len(b) + 1) * BANDS * ROWS, samples.ravel())], ["doc_id", "k1", "k2", "weight", "bands", "samples"])
 
     return df.mapInArrow(run, SIGNED)
 
@@ -170,8 +181,7 @@ def shingle_sets(df: DataFrame, wanted) -> DataFrame:
         bits = wanted.value
         for b in pieces(batches):
             ids = b.column(0).fill_null(0).to_numpy()
-            slot = (mix(ids.view(np.uint64) + np.uint64(0)) >> np.uint64(40)).astype(np.int64)
-            b = b.filter(pa.array((bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            b = b.filter(pa.array(_is_set(bits, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
             if not len(b):
                 continue
             text, h, tf = shingles(b.column(1))
@@ -181,20 +191,29 @@ def shingle_sets(df: DataFrame, wanted) -> DataFrame:
     return df.mapInArrow(run, "node long, hashes binary, counts binary")
 
 
+def _slots(nodes: np.ndarray) -> np.ndarray:
+    return (mix(nodes.view(np.uint64) + np.uint64(0)) >> np.uint64(40)).astype(np.int64)
+
+
+def _is_set(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    slot = _slots(nodes)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def wanted_bits(nodes: DataFrame) -> np.ndarray:
     """2**24 bits of which every node sets one: a filter of fixed size that lets through all nodes and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << 18, np.uint64)
         for b in batches:
-            slot = (mix(b.column(0).to_numpy().view(np.uint64) + np.uint64(0)) >> np.uint64(40)).astype(np.int64)
+            slot = _slots(b.column(0).to_numpy())
             np.bitwise_or.at(bits, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["word", "bits"])
 
-    got = nodes.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    got = nodes.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << 18, np.uint64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -212,9 +231,21 @@ def similarities(pairs: DataFrame, sets: DataFrame, idf) -> DataFrame:
                 j.append(float(both / max(wa.sum() + wb.sum() - both, 1e-300)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j, pa.float64())], ["a", "b", "j"])
 
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"), F.col("counts").alias(f"c{k}"))
+    needed = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    side = lambda k: needed.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"), F.col("counts").alias(f"c{k}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "ca", "hb", "cb")
-    return met.mapInArrow(run, "a long, b long, j double")
+    return met.mapInArrow(run, "a long, b long, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
+
+
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of the nodes, and few others: what need not move is left out by a filter of fixed size."""
+    wanted = sets.sparkSession.sparkContext.broadcast(wanted_bits(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_is_set(wanted.value, b.column(0).to_numpy())))
+
+    return sets.mapInArrow(run, sets.schema)
 
 
 def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -242,46 +273,93 @@ def _with_centres(rows: DataFrame, n: int = CENTRES) -> DataFrame:
 
 def _with_more_centres(rows: DataFrame, n: int = MORE_CENTRES) -> DataFrame:
     """The same, with the n members of the bucket's smallest classes."""
-    x = with_group(rows, ["bucket"], "node", {"low": (F.col("class"), F.min), "high": (F.col("class"), F.max)}).filter("low <> high").select("bucket", "node", "class", "weight")
+    mixed = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("members")).filter("low <> high")
+    x = written(rows.join(mixed, "bucket").select("bucket", "node", "class", "weight", "members"), "mixed")
     x = with_group(x.withColumn("_one", F.lit(1)), ["bucket", "class"], "node", {"size": (F.col("_one"), F.count)}).drop("_one").withColumn("_salt", salt_of("node", rows))
+    most = F.when(F.col("members") > LARGE, CENTRES).otherwise(n)
     top = x
     for part in (["_salt"], []):  # the first n of each part of a bucket, then of these
-        top = top.withColumn("_n", F.row_number().over(W.partitionBy("bucket", *part).orderBy("size", F.xxhash64("node")))).filter(F.col("_n") <= n)
+        top = top.withColumn("_n", F.row_number().over(W.partitionBy("bucket", *part).orderBy("size", F.xxhash64("node")))).filter((F.col("_n") <= n) & (F.col("_n") <= most))
     centres = top.groupBy("bucket").agg(F.collect_list(F.struct("node", "class", "weight")).alias("centres"))
     parts = x.select("bucket", "_salt").distinct().join(centres, "bucket")
     return x.join(parts, ["bucket", "_salt"]).select("bucket", "node", "class", "weight", "centres")
 
 
+def finer(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, class, weight): each node in TABLES buckets, by PER_TABLE samples each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(5)
+        tables = [rng.choice(BANDS * ROWS, PER_TABLE, replace=False) for _ in range(TABLES)]
+        for b in batches:
+            _, data = byte_offsets(b.column(b.schema.get_field_index("samples")))
+            s = np.frombuffer(data.tobytes(), np.uint32).reshape(-1, BANDS * ROWS).astype(np.uint64)
+            key = np.zeros((len(b), TABLES), np.uint64)
+            for t, columns in enumerate(tables):
+                k = np.full(len(b), t + 1, np.uint64)
+                for c in columns:
+                    k = mix(k + s[:, c])
+                key[:, t] = k
+            at = pa.array(np.repeat(np.arange(len(b)), TABLES))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(b.column(b.schema.get_field_index(c)).take(at) for c in ("node", "class", "weight"))], ["bucket", "node", "class", "weight"])
+
+    return nodes.select("node", "class", "weight", "samples").mapInArrow(run, "bucket long, node long, class long, weight double")
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """Without the centres, which all others have been compared with, and without the classes, which have changed."""
+    return rows.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).drop("class", "centres")
+
+
 def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_copies): every document's class, named by its least id, and the number of documents with equal shingles."""
     spark = df.sparkSession
     sc = spark.sparkContext
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     idf = sc.broadcast(idf_table(*document_frequencies(docs)))
-    signed = signatures(docs, idf).withColumn("id", F.coalesce("doc_id", -F.shiftrightunsigned("k1", 1) - 1)).withColumn("_one", F.lit(1))
-    signed = written(with_group(signed, ["k1", "k2"], "id", {"rep": (F.col("id"), F.min), "n_copies": (F.col("_one"), F.count)}).drop("_one"), "signatures")
-    members = signed.select("doc_id", "id", "rep", "n_copies")
-    nodes = signed.filter("id = rep").dropDuplicates(["rep"])
-    rows = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("class"), "weight", F.explode("bands").alias("bucket"))
-    rows = written(_with_centres(rows), "buckets")
-    sets = written(shingle_sets(docs, sc.broadcast(wanted_bits(rows.select("node").distinct()))).dropDuplicates(["node"]), "sets")
+    signed = written(signatures(docs, idf).withColumn("id", F.coalesce("doc_id", -F.shiftrightunsigned("k1", 1) - 1)), "signatures")
+    groups = with_group(signed.select("doc_id", "id", "k1", "k2", F.lit(1).alias("_one")), ["k1", "k2"], "id", {"rep": (F.col("id"), F.min), "n_copies": (F.col("_one"), F.count)})
+    members = written(groups.drop("_one"), "members")
+    nodes = signed.join(members.filter("id = rep").select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"])
+    rows = nodes.select(F.col("id").alias("node"), "weight", F.posexplode("bands").alias("band", "bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    shared = written(rows.join(shared, "bucket"), "buckets")
+    sets = written(shingle_sets(docs, sc.broadcast(wanted_bits(shared.select("node").distinct()))), "sets")
     # texts that came under one id are one document
-    links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(nodes.select(F.col("rep").alias("a")), "a", "left_semi")
-    classes = written(components(links), "classes")
-    fresh = True
+    links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(members.filter("id = rep").select(F.col("id").alias("a")), "a", "left_semi")
+    classes = None
+
+    total = 0
+
+    def joined(found: DataFrame | None) -> bool:
+        """Takes in new links; whether they are more than a few of all."""
+        nonlocal links, classes, total
+        more = links if found is None else found.select("a", "b")
+        new = more.count()
+        if new:
+            links = links if found is None else links.union(more)
+            classes = components(links)
+        total += new
+        return new > FEW * total
+
+    def classed(x: DataFrame) -> DataFrame:
+        return x.withColumn("class", F.col("node")) if classes is None else x.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+    joined(None)
+    for part in (F.col("band") < FIRST_BANDS, F.lit(True)):
+        rows = written(_with_centres(classed(shared.filter(part).drop("band"))), "buckets")
+        joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links"))
+    level = F.floor(F.log("weight") / F.lit(float(-np.log(threshold)))).cast("long")  # linked texts differ by one at most
+    x = written(with_group(classed(_rest(rows)).withColumn("_one", F.lit(1)), ["bucket"], "node", {"members": (F.col("_one"), F.count), "low": (F.col("class"), F.min), "high": (F.col("class"), F.max)}).filter("low <> high").drop("_one", "low", "high"), "rest")
+    small = x.filter(F.col("members") <= LARGE).withColumn("level", F.explode(F.array(level, level + 1))).select(F.xxhash64("level", "bucket").alias("bucket"), "node", "class", "weight")
+    large = x.filter(F.col("members") > LARGE).select("node", "class").distinct()
+    anew = nodes.select(F.col("id").alias("node"), "weight", "samples").join(large, "node")
+    rows = written(_with_more_centres(small.unionByName(finer(anew))), "buckets")
     while not rows.isEmpty():
-        found = written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links")
-        if not found.isEmpty():
-            links = links.union(found.select("a", "b"))
-            classes = written(components(links), "classes")
-        x = rows.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).drop("class", "centres")
-        x = x.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        if fresh:
-            level = F.floor(F.log("weight") / F.lit(float(-np.log(threshold)))).cast("long")  # linked texts differ by one at most
-            x = x.withColumn("level", F.explode(F.array(level, level + 1))).withColumn("bucket", F.xxhash64("level", "bucket")).drop("level")
-            fresh = False
-        rows = written(_with_more_centres(x), "buckets")
-    out = members.join(classes, members["rep"] == classes["node"], "left")
+        if not joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links")):
+            break
+        rows = written(_with_more_centres(classed(_rest(rows))), "buckets")
+    out = classed(members.withColumn("node", F.col("rep")))
     return out.select("doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("n_copies").cast("long").alias("n_copies"))
 
 
