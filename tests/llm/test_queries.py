@@ -1,0 +1,51 @@
+"""The registered queries and the pipeline on the smallest tables."""
+
+import collections
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from storyloom.llm import line_dedup, near_dedup, quality_rules, queries, secrets
+from storyloom.llm.common import documents, written
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    cols = sorted(c[0] for c in cur.description)
+    place = [c[0] for c in cur.description]
+    want = sorted(repr([v[place.index(c)] for c in cols]) for v in cur.fetchall())
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == cols
+    assert sorted(repr([r[c] for c in cols]) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
+def test_has_rows(spark, name):
+    df = queries.queries()[name](spark, SF)
+    assert df.count() >= 200 and "doc_id" in df.columns
+
+
+def test_pipeline(spark):
+    d = documents(spark, SF)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = d
+        d = written(stage(spark, d, SF), "t")
+        assert d.columns == before.columns, name
+        if name == "quality rules":
+            assert {r.doc_id for r in d.collect()} == {r.doc_id for r in quality_rules.query(spark, SF).filter("kept").collect()}
+        elif name == "near duplicates":
+            classes = {r.doc_id: r.class_id for r in near_dedup.near_classes(before).collect()}
+            assert {r.doc_id for r in d.collect()} == set(classes.values())
+        elif name == "line dedup":
+            assert collections.Counter(r.text for r in d.collect()) == collections.Counter(r.text for r in line_dedup.dedup_lines(before).collect())
+        else:
+            assert not [r for r in secrets.scan(d).collect() if r.spans]
+    out = written(corpus_pipeline.STAGES[-1][1](spark, d, SF), "t")
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in d.collect()}
+    assert corpus_pipeline.run(spark, SF).count() == out.count()
