@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,24 +30,30 @@ def dehyphenate(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)-\s*\n\s*", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once, however often the body or a lambda in it uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def drop_running_lines(c: Column, most: int = 80, repeats: int = 5) -> Column:
     """Without page numbers, page labels, and short lines that come ``repeats`` times or more.
 
     Repeats are found by sorting a page's short lines, so that the work stays near linear in them.
     """
     lines = F.split(c, "\n")
-    short = F.filter(F.transform(lines, strip), lambda x: F.length(x).between(1, most - 1))
-    # sorted, a line that comes n times equals the one n - 1 places on
-    ordered = F.sort_array(short)
-    often = F.array_distinct(F.filter(ordered, lambda x, i: F.get(ordered, i + (repeats - 1)) == x))
+    short = F.sort_array(F.filter(F.transform(lines, strip), lambda x: F.length(x).between(1, most - 1)))
 
-    def kept(x: Column) -> Column:
+    def kept(x: Column, often: Column) -> Column:
         s = strip(x)
         number = s.rlike(r"(?U)^[\d\s\-–—]+$") & (F.length(s) < 10)
         label = s.rlike(r"(?iU)^(page|p\.)\s*\d+")
         return (s == "") | ~(F.array_contains(often, s) | number | label)
 
-    return F.array_join(F.transform(F.filter(lines, kept), lambda x: F.when(strip(x) == "", "").otherwise(x)), "\n")
+    def without(often: Column) -> Column:
+        return F.array_join(F.transform(F.filter(lines, lambda x: kept(x, often)), lambda x: F.when(strip(x) == "", "").otherwise(x)), "\n")
+
+    # sorted, a line that comes n times equals the one n - 1 places on
+    return let(short, lambda ordered: let(F.array_distinct(F.filter(ordered, lambda x, i: F.get(ordered, i + (repeats - 1)) == x)), without))
 
 
 def paragraphs(c: Column) -> Column:
