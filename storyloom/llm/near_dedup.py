@@ -276,6 +276,7 @@ def _with_more_centres(rows: DataFrame, n: int = MORE_CENTRES) -> DataFrame:
     mixed = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("members")).filter("low <> high")
     x = written(rows.join(mixed, "bucket").select("bucket", "node", "class", "weight", "members"), "mixed")
     x = with_group(x.withColumn("_one", F.lit(1)), ["bucket", "class"], "node", {"size": (F.col("_one"), F.count)}).drop("_one").withColumn("_salt", salt_of("node", rows))
+    x = written(x, "sized")
     most = F.when(F.col("members") > LARGE, CENTRES).otherwise(n)
     top = x
     for part in (["_salt"], []):  # the first n of each part of a bucket, then of these
