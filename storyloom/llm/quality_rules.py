@@ -111,14 +111,14 @@ def broken(rule: Rule) -> Column:
 def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """All rows, with ``_quality`` and its field ``broken``: the names of the rules that the row breaks, in table order."""
     names = F.array_compact(F.array(*(F.when(broken(r), F.lit(r.name)) for r in rules)))
+    # what is not deterministic keeps the optimiser from writing all measures out again within a filter on the verdict
+    names = F.when(F.monotonically_increasing_id() >= 0, names)
     return measures(df, text).withColumn("_quality", F.col("_quality").withField("broken", names))
 
 
 def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that break no rule, with the columns that came."""
-    # a column that is not deterministic keeps the optimiser from writing all measures out again within the filter
-    good = (F.size("_quality.broken") == 0) & (F.monotonically_increasing_id() >= 0)
-    return apply_rules(df, rules, text).withColumn("_quality", good).filter("_quality").drop("_quality")
+    return apply_rules(df, rules, text).filter(F.size("_quality.broken") == 0).drop("_quality")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
