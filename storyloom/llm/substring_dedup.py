@@ -205,17 +205,19 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     anchors = written(repeated_anchors(docs), "anchors")
     bits = spark.sparkContext.broadcast(_bits_of(anchors, "h", _size_for(anchors.count())))
+    once = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("windows").alias("n")))
     found = written(segments(docs, bits), "segments")
     distinct = written(found.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes")), "distinct")
     parts = written(anchor_pieces(distinct), "pieces")
-    parts = with_group(parts, ["h", "p"], "s1", {"times": (F.col("n"), F.sum)})
-    parts = written(with_group(parts, ["h"], "s1", {"low": (F.col("p"), F.min), "high": (F.col("p"), F.max)}), "pieces")
+    parts = written(with_group(parts, ["h"], "s1", {"low": (F.col("p"), F.min), "high": (F.col("p"), F.max), "times": (F.col("n"), F.sum)}).filter("times > 1"), "pieces")
+    alike = parts.filter("low = high").select("s1", "s2", "at", "windows", once.alias("runs"))
+    parts = written(with_group(parts.filter("low <> high").drop("low", "high", "times"), ["h", "p"], "s1", {"times": (F.col("n"), F.sum)}), "pieces")
     # one of each kind of piece whose anchor has several
-    several = parts.filter("low <> high").groupBy("h", "p").agg(F.min(F.struct("s1", "s2", "at", "windows")).alias("x")).select("h", "p", "x.*")
+    several = parts.groupBy("h", "p").agg(F.min(F.struct("s1", "s2", "at", "windows")).alias("x")).select("h", "p", "x.*")
     shard = several.join(distinct.select("s1", "s2", "bytes"), ["s1", "s2"]).select("h", "p", F.expr(f"substring(bytes, cast(at + 1 as int), cast(windows + {LENGTH - 1} as int))").alias("bytes"))
     shared = written(sorted_shards(shard.repartition("h").sortWithinPartitions("h")), "shared")
-    once = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("windows").alias("n")))
     marked = parts.join(shared, ["h", "p"], "left").withColumn("runs", F.when(F.col("times") > 1, once).otherwise(F.coalesce("runs", F.array().cast(RUNS)))).filter(F.size("runs") > 0)
+    marked = marked.select("s1", "s2", "at", "windows", "runs").unionByName(alike)
     here = F.transform("runs", lambda r: F.struct((F.col("at") + r["at"]).alias("at"), r["n"].alias("n")))
     per_segment = written(marked.groupBy("s1", "s2").agg(F.flatten(F.collect_list(here)).alias("runs")), "per-segment")
     rows = found.select("row", "lo", "s1", "s2").join(per_segment, ["s1", "s2"])
