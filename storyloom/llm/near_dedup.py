@@ -250,8 +250,8 @@ def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """Each member of a bucket with each of its centres, least first; not those of one class or too unlike in weight."""
-    x = rows.select("node", "class", "weight", F.explode("centres").alias("c"))
-    x = x.filter((F.col("class") != F.col("c.class")) & (_ratio(F.col("c")) >= threshold - 1e-9))
+    fit = F.filter("centres", lambda c: (c["class"] != F.col("class")) & (_ratio(c) >= threshold - 1e-9))
+    x = rows.select("node", F.explode(fit).alias("c"))
     return x.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
