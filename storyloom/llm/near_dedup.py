@@ -231,7 +231,7 @@ def similarities(pairs: DataFrame, sets: DataFrame, idf) -> DataFrame:
                 j.append(float(both / max(wa.sum() + wb.sum() - both, 1e-300)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j, pa.float64())], ["a", "b", "j"])
 
-    needed = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    needed = _only(sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     side = lambda k: needed.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"), F.col("counts").alias(f"c{k}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "ca", "hb", "cb")
     return met.mapInArrow(run, "a long, b long, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
