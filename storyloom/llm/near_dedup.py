@@ -21,7 +21,7 @@ totals differ by more than the threshold allows are less alike than that; member
 ones (texts around one common passage, mostly) are bucketed anew by 64 tables of 10 samples,
 which miss one pair in 1400 at the threshold. Each round compares all with 32 more
 members (2 in a bucket of more than 64), those of the bucket's smallest classes first,
-and takes these out, until nothing is left or a round adds less than a thousandth to the links.
+and takes these out, until no bucket with several classes is left.
 
 Defined cases: a null or empty text has no shingles, and all such texts are one class;
 rows with the same ``doc_id`` are one document and end up in one class; a null
@@ -54,8 +54,6 @@ CENTRES, MORE_CENTRES = 2, 32
 FIRST_BANDS, LARGE = 2, 64
 #: The finer buckets of what large ones leave: tables of so many of the 64 samples.
 TABLES, PER_TABLE = 64, 10
-#: A round that adds a smaller share of links ends the search.
-FEW = 0.001
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,18 +328,13 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(members.filter("id = rep").select(F.col("id").alias("a")), "a", "left_semi")
     classes = None
 
-    total = 0
-
-    def joined(found: DataFrame | None) -> bool:
-        """Takes in new links; whether they are more than a few of all."""
-        nonlocal links, classes, total
+    def joined(found: DataFrame | None) -> None:
+        """Takes in new links."""
+        nonlocal links, classes
         more = links if found is None else found.select("a", "b")
-        new = more.count()
-        if new:
+        if not more.isEmpty():
             links = links if found is None else links.union(more)
             classes = components(links)
-        total += new
-        return new > FEW * total
 
     def classed(x: DataFrame) -> DataFrame:
         return x.withColumn("class", F.col("node")) if classes is None else x.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -357,8 +350,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     anew = nodes.select(F.col("id").alias("node"), "weight", "samples").join(large, "node")
     rows = written(_with_more_centres(small.unionByName(finer(anew))), "buckets")
     while not rows.isEmpty():
-        if not joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links")):
-            break
+        joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links"))
         rows = written(_with_more_centres(classed(_rest(rows))), "buckets")
     out = classed(members.withColumn("node", F.col("rep")))
     return out.select("doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("n_copies").cast("long").alias("n_copies"))

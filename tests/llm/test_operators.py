@@ -169,6 +169,21 @@ def test_near_classes(spark):
     assert ids == sorted(set(got.values()) & set(ids)) and len(ids) == len(set(ids)) and {0, 1, 3, 4, 900, 902, 904} <= set(ids)
 
 
+def test_near_rounds_go_on_without_links(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = [f"w{rng.random()}" for _ in range(200)]
+    rows = [(i, " ".join([*passage, f"own{i}"])) for i in range(60)]
+    met, real = set(), near_dedup.similarities
+
+    def unlike(pairs, sets, idf):
+        met.update((r.a, r.b) for r in pairs.collect())
+        return real(pairs, sets, idf).withColumn("j", F.lit(0.0))
+
+    monkeypatch.setattr(near_dedup, "similarities", unlike)
+    near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert met == set(itertools.combinations(range(60), 2))
+
+
 def test_sampling_follows_weighted_similarity():
     rng = np.random.default_rng(0)
     s = near_dedup.Sampler(samples=2000)
