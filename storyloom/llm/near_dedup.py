@@ -24,10 +24,11 @@ members (2 in a bucket of more than 64), those of the bucket's smallest classes
 and takes these out, until no bucket with several classes is left.
 
 Defined cases: a null or empty text has no shingles, and all such texts are one class;
-rows with the same ``doc_id`` are one document and end up in one class; a null
-``doc_id`` stands as a negative number made of the text's hash; ties don't matter, as a
-class is named by its least id; an empty table gives an empty result. Extra columns
-are not read by ``near_classes`` and pass through ``keep_one``.
+rows with the same ``doc_id`` are one document and end up in one class; for a null
+``doc_id`` stands a number from 2**62 on made of the text's hash, so that rows without an id and
+with equal texts are one document and a class is named by a real id if it has one; ties don't matter,
+as a class is named by its least id; an empty table gives an empty result. Extra columns
+are not read by ``near_classes`` and pass through ``keep_one``; only the name ``_near_id`` is taken.
 """
 
 from __future__ import annotations
@@ -137,11 +138,11 @@ def _sums(begin: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, begin)
 
 
-SIGNED = "doc_id long, k1 long, k2 long, weight double, bands array<long>, samples binary"
+SIGNED = "id long, doc_id long, k1 long, k2 long, weight double, bands array<long>, samples binary"
 
 
 def signatures(df: DataFrame, idf) -> DataFrame:
-    """(doc_id, k1, k2, weight, bands): 128 bits that equal shingles share, their total weight, and a hash for each band (none without shingles)."""
+    """(id, doc_id, k1, k2, weight, bands, samples) of (id, text, doc_id): 128 bits that equal shingles share, their total weight, and a hash for each band (none without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -167,7 +168,7 @@ def signatures(df: DataFrame, idf) -> DataFrame:
                 bands[at] = key
             count = np.where(full, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(bands[full].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), lists, as_binary(np.arange(1, len(b) + 1) * BANDS * ROWS, samples.ravel())], ["doc_id", "k1", "k2", "weight", "bands", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), lists, as_binary(np.arange(1, len(b) + 1) * BANDS * ROWS, samples.ravel())], ["id", "doc_id", "k1", "k2", "weight", "bands", "samples"])
 
     return df.mapInArrow(run, SIGNED)
 
@@ -178,8 +179,7 @@ def shingle_sets(df: DataFrame, wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for b in pieces(batches):
-            ids = b.column(0).fill_null(0).to_numpy()
-            b = b.filter(pa.array(_is_set(bits, ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            b = b.filter(pa.array(_is_set(bits, b.column(0).to_numpy())))
             if not len(b):
                 continue
             text, h, tf = shingles(b.column(1))
@@ -310,20 +310,32 @@ def _rest(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).drop("class", "centres")
 
 
+def _id():
+    """The document's id, or what stands for a null one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2) + F.lit(1 << 62))
+
+
 def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_copies): every document's class, named by its least id, and the number of documents with equal shingles."""
+    return _classes(df, threshold).drop("id")
+
+
+def _classes(df: DataFrame, threshold: float) -> DataFrame:
+    """The same with ``id``, which is never null."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = df.select(_id().alias("id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     idf = sc.broadcast(idf_table(*document_frequencies(docs)))
-    signed = written(signatures(docs, idf).withColumn("id", F.coalesce("doc_id", -F.shiftrightunsigned("k1", 1) - 1)), "signatures")
+    signed = written(signatures(docs, idf), "signatures")
     groups = with_group(signed.select("doc_id", "id", "k1", "k2", F.lit(1).alias("_one")), ["k1", "k2"], "id", {"rep": (F.col("id"), F.min), "n_copies": (F.col("_one"), F.count)})
     members = written(groups.drop("_one"), "members")
     nodes = signed.join(members.filter("id = rep").select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"])
     rows = nodes.select(F.col("id").alias("node"), "weight", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     shared = written(rows.join(shared, "bucket"), "buckets")
-    sets = written(shingle_sets(docs, sc.broadcast(wanted_bits(shared.select("node").distinct()))), "sets")
+    wanted = sc.broadcast(wanted_bits(shared.select("node").distinct()))
+    no_id = F.col("doc_id").isNull()
+    sets = written(shingle_sets(docs.filter(~no_id), wanted).unionByName(shingle_sets(docs.filter(no_id), wanted).dropDuplicates(["node"])), "sets")
     # texts that came under one id are one document
     links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(members.filter("id = rep").select(F.col("id").alias("a")), "a", "left_semi")
     classes = None
@@ -353,15 +365,16 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links"))
         rows = written(_with_more_centres(classed(_rest(rows))), "buckets")
     out = classed(members.withColumn("node", F.col("rep")))
-    return out.select("doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("n_copies").cast("long").alias("n_copies"))
+    return out.select("id", "doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("n_copies").cast("long").alias("n_copies"))
 
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows and columns that came, one document of each class: the one with the least id."""
-    stays = near_classes(df, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return df.join(stays, df["doc_id"] == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
+    stays = _classes(df, threshold).filter("id = class_id").select(F.col("id").alias("_stays")).distinct()
+    rows = df.withColumn("_near_id", _id())
+    return rows.join(stays, rows["_near_id"] == F.col("_stays"), "left_semi").dropDuplicates(["_near_id"]).drop("_near_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = near_classes(documents(spark, sf_dir))
-    return c.select("doc_id", "class_id", "n_copies", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    c = _classes(documents(spark, sf_dir), THRESHOLD)
+    return c.select("doc_id", "class_id", "n_copies", (F.col("id") == F.col("class_id")).alias("kept"))

@@ -169,6 +169,16 @@ def test_near_classes(spark):
     assert ids == sorted(set(got.values()) & set(ids)) and len(ids) == len(set(ids)) and {0, 1, 3, 4, 900, 902, 904} <= set(ids)
 
 
+def test_each_near_class_keeps_one_row(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (2, b), (None, b), (None, b), (None, b + " tail"), (None, c), (None, c + " tail"), (None, c), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_one(df).collect()]
+    assert sorted(d for d, _ in kept if d is not None) == [1, 2]
+    assert len(kept) == 4 and sum((t or "").startswith(c) for _, t in kept) == 1 and sum(not t for _, t in kept) == 1
+
+
 def test_near_rounds_go_on_without_links(spark, monkeypatch):
     rng = random.Random(3)
     passage = [f"w{rng.random()}" for _ in range(200)]
