@@ -16,11 +16,12 @@ Texts with equal shingles are one node. In each bucket two members are centres,
 each member is compared with them by exact weighted Jaccard similarity; links join nodes to
 classes. A few bands are joined first, so that large groups of copies are classes before
 the others. A bucket is done when it lies in one class, which for nearly all is at once.
-In what is left, members of small buckets are dealt by their total weight, as texts whose
-totals differ by more than the threshold allows are less alike than that; members of large
-ones (texts around one common passage, mostly) are bucketed anew by 64 tables of 10 samples,
-which miss one pair in 1400 at the threshold. Each round compares all with 32 more
-members (2 in a bucket of more than 64), those of the bucket's smallest classes first,
+In what is left, members are dealt by their total weight, as texts whose totals differ by more
+than the threshold allows are less alike than that. Where more than 64 members are left together (texts
+around one common passage, mostly), they are bucketed anew by each shingle of their prefix: their
+shingles, rarest first, as far as the weight of the rest could still reach the threshold. Texts as alike
+as that share a shingle of both prefixes, so this loses no pair. Each round compares all with 32 more
+members (64 in the second round, 128 from the third on), those of the bucket's smallest classes first,
 and takes these out, until no bucket with several classes is left.
 
 Defined cases: a null or empty text has no shingles, and all such texts are one class;
@@ -50,11 +51,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 DF_BITS, DAMP = 18, 0.25
 _VARIATES, _LEVELS, _PER_OCTAVE = 1 << 14, 64, 8
-CENTRES, MORE_CENTRES = 2, 32
-#: Bands whose buckets are joined first; and from how many members on a bucket has few centres.
+#: Centres of a bucket: at first, and in the rounds after, which double them up to the last.
+CENTRES, MORE_CENTRES, MOST_CENTRES = 2, 32, 128
+#: Bands whose buckets are joined first; and from how many members on a bucket is divided by prefixes.
 FIRST_BANDS, LARGE = 2, 64
-#: The finer buckets of what large ones leave: tables of so many of the 64 samples.
-TABLES, PER_TABLE = 64, 10
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,11 +138,11 @@ def _sums(begin: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, begin)
 
 
-SIGNED = "id long, doc_id long, k1 long, k2 long, weight double, bands array<long>, samples binary"
+SIGNED = "id long, doc_id long, k1 long, k2 long, weight double, bands array<long>"
 
 
 def signatures(df: DataFrame, idf) -> DataFrame:
-    """(id, doc_id, k1, k2, weight, bands, samples) of (id, text, doc_id): 128 bits that equal shingles share, their total weight, and a hash for each band (none without shingles)."""
+    """(id, doc_id, k1, k2, weight, bands) of (id, text, doc_id): 128 bits that equal shingles share, their total weight, and a hash for each band (none without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -151,7 +151,6 @@ def signatures(df: DataFrame, idf) -> DataFrame:
             text, h, tf = shingles(b.column(1))
             k1, k2 = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64)
             bands = np.zeros((len(b), BANDS), np.uint64)
-            samples = np.zeros((len(b), BANDS * ROWS), np.uint32)
             full, total = np.zeros(len(b), bool), np.zeros(len(b))
             if len(h):
                 at, begin = np.unique(text, return_index=True)
@@ -160,15 +159,14 @@ def signatures(df: DataFrame, idf) -> DataFrame:
                 k1[at], k2[at] = _sums(begin, mix(h + t)), _sums(begin, mix(h * np.uint64(0x9E3779B97F4A7C15) + t))
                 w = weights(h, tf, idf.value)
                 total[at] = _sums(begin, w)
-                samples[at] = sampler.draw(begin, h, w)
-                drawn = samples[at].astype(np.uint64).reshape(len(at), BANDS, ROWS)
+                drawn = sampler.draw(begin, h, w).astype(np.uint64).reshape(len(at), BANDS, ROWS)
                 key = np.zeros((len(at), BANDS), np.uint64)
                 for r in range(ROWS):
                     key = mix(key + drawn[:, :, r] + salt)
                 bands[at] = key
             count = np.where(full, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(bands[full].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), lists, as_binary(np.arange(1, len(b) + 1) * BANDS * ROWS, samples.ravel())], ["id", "doc_id", "k1", "k2", "weight", "bands", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), lists], ["id", "doc_id", "k1", "k2", "weight", "bands"])
 
     return df.mapInArrow(run, SIGNED)
 
@@ -269,40 +267,40 @@ def _with_centres(rows: DataFrame, n: int = CENTRES) -> DataFrame:
     return out.select("bucket", "node", "class", "weight", F.array_distinct(F.array(*(_centre(f"c{i}") for i in range(n)))).alias("centres"))
 
 
-def _with_more_centres(rows: DataFrame, n: int = MORE_CENTRES) -> DataFrame:
-    """The same, with the n members of the bucket's smallest classes."""
-    mixed = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("members")).filter("low <> high")
-    x = written(rows.join(mixed, "bucket").select("bucket", "node", "class", "weight", "members"), "mixed")
+def _with_more_centres(rows: DataFrame, n: int) -> DataFrame:
+    """The same, with the n members of the bucket's smallest classes; of buckets with the same members one is enough."""
+    sums = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("x"), "node")).alias("y")]
+    mixed = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), *sums).filter("low <> high")
+    mixed = mixed.groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    x = written(rows.join(mixed, "bucket").select("bucket", "node", "class", "weight"), "mixed")
     x = with_group(x.withColumn("_one", F.lit(1)), ["bucket", "class"], "node", {"size": (F.col("_one"), F.count)}).drop("_one").withColumn("_salt", salt_of("node", rows))
     x = written(x, "sized")
-    most = F.when(F.col("members") > LARGE, CENTRES).otherwise(n)
     top = x
     for part in (["_salt"], []):  # the first n of each part of a bucket, then of these
-        top = top.withColumn("_n", F.row_number().over(W.partitionBy("bucket", *part).orderBy("size", F.xxhash64("node")))).filter((F.col("_n") <= n) & (F.col("_n") <= most))
+        top = top.withColumn("_n", F.row_number().over(W.partitionBy("bucket", *part).orderBy("size", F.xxhash64("node")))).filter(F.col("_n") <= n)
     centres = top.groupBy("bucket").agg(F.collect_list(F.struct("node", "class", "weight")).alias("centres"))
     parts = x.select("bucket", "_salt").distinct().join(centres, "bucket")
     return x.join(parts, ["bucket", "_salt"]).select("bucket", "node", "class", "weight", "centres")
 
 
-def finer(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, class, weight): each node in TABLES buckets, by PER_TABLE samples each."""
+def finer(nodes: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
+    """(bucket, node, class, weight): each node in a bucket for each shingle of its prefix, in which it meets all that are as alike as the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(5)
-        tables = [rng.choice(BANDS * ROWS, PER_TABLE, replace=False) for _ in range(TABLES)]
         for b in batches:
-            _, data = byte_offsets(b.column(b.schema.get_field_index("samples")))
-            s = np.frombuffer(data.tobytes(), np.uint32).reshape(-1, BANDS * ROWS).astype(np.uint64)
-            key = np.zeros((len(b), TABLES), np.uint64)
-            for t, columns in enumerate(tables):
-                k = np.full(len(b), t + 1, np.uint64)
-                for c in columns:
-                    k = mix(k + s[:, c])
-                key[:, t] = k
-            at = pa.array(np.repeat(np.arange(len(b)), TABLES))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(b.column(b.schema.get_field_index(c)).take(at) for c in ("node", "class", "weight"))], ["bucket", "node", "class", "weight"])
+            count, buckets = [], []
+            for h, tf in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                h = np.frombuffer(h, np.uint64)
+                w = weights(h, np.frombuffer(tf, np.uint16), idf.value)
+                order = np.lexsort((h, -weights(h, np.ones(len(h)), idf.value)))  # one order for all texts
+                left = np.cumsum(w[order][::-1])[::-1]
+                buckets.append(h[order[left >= threshold * left[0] - 1e-6]])
+                count.append(len(buckets[-1]))
+            at = pa.array(np.repeat(np.arange(len(b)), count))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets or [np.zeros(0, np.uint64)]).view(np.int64)), *(b.column(i).take(at) for i in range(3))], ["bucket", "node", "class", "weight"])
 
-    return nodes.select("node", "class", "weight", "samples").mapInArrow(run, "bucket long, node long, class long, weight double")
+    near = _only(sets, nodes.select("node")).join(nodes, "node").select("node", "class", "weight", "hashes", "counts")
+    return near.mapInArrow(run, "bucket long, node long, class long, weight double")
 
 
 def _rest(rows: DataFrame) -> DataFrame:
@@ -356,14 +354,17 @@ def _classes(df: DataFrame, threshold: float) -> DataFrame:
         rows = written(_with_centres(classed(shared.filter(part).drop("band"))), "buckets")
         joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links"))
     level = F.floor(F.log("weight") / F.lit(float(-np.log(threshold)))).cast("long")  # linked texts differ by one at most
-    x = written(with_group(classed(_rest(rows)).withColumn("_one", F.lit(1)), ["bucket"], "node", {"members": (F.col("_one"), F.count), "low": (F.col("class"), F.min), "high": (F.col("class"), F.max)}).filter("low <> high").drop("_one", "low", "high"), "rest")
-    small = x.filter(F.col("members") <= LARGE).withColumn("level", F.explode(F.array(level, level + 1))).select(F.xxhash64("level", "bucket").alias("bucket"), "node", "class", "weight")
-    large = x.filter(F.col("members") > LARGE).select("node", "class").distinct()
-    anew = nodes.select(F.col("id").alias("node"), "weight", "samples").join(large, "node")
-    rows = written(_with_more_centres(small.unionByName(finer(anew))), "buckets")
+    x = classed(_rest(rows)).withColumn("level", F.explode(F.array(level, level + 1))).withColumn("bucket", F.xxhash64("level", "bucket"))
+    sums = {"members": (F.lit(1), F.count), "low": (F.col("class"), F.min), "high": (F.col("class"), F.max)}
+    x = written(with_group(x.select("bucket", "node", "class", "weight"), ["bucket"], "node", sums).filter("low <> high").drop("low", "high"), "rest")
+    small = x.filter(F.col("members") <= LARGE).drop("members")
+    large = written(x.filter(F.col("members") > LARGE).select("node", "class", "weight").distinct(), "large")
+    n = MORE_CENTRES
+    rows = written(_with_more_centres(small.unionByName(finer(large, sets, idf, threshold)), n), "buckets")
     while not rows.isEmpty():
         joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links"))
-        rows = written(_with_more_centres(classed(_rest(rows))), "buckets")
+        n = min(2 * n, MOST_CENTRES)
+        rows = written(_with_more_centres(classed(_rest(rows)), n), "buckets")
     out = classed(members.withColumn("node", F.col("rep")))
     return out.select("id", "doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("n_copies").cast("long").alias("n_copies"))
 

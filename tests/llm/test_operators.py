@@ -194,6 +194,28 @@ def test_near_rounds_go_on_without_links(spark, monkeypatch):
     assert met == set(itertools.combinations(range(60), 2))
 
 
+def test_pairs_at_the_threshold_meet_in_large_buckets(spark):
+    rng = random.Random(7)
+    word = lambda k: [f"w{rng.random()}" for _ in range(k)]
+    passage, texts = word(60), []
+    for _ in range(150):  # a pair shares the passage and words of its own, but not the tails
+        own = word(60)
+        texts += [" ".join(passage + own + word(k)) for k in (12, 14)]
+    n = np.bincount((near_dedup.shingles(pa.array(texts))[1] >> np.uint64(64 - near_dedup.DF_BITS)).astype(np.int64), minlength=1 << near_dedup.DF_BITS)
+    idf = spark.sparkContext.broadcast(near_dedup.idf_table(n, len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    sets = written(near_dedup.shingle_sets(df, spark.sparkContext.broadcast(np.full(1 << 18, 2**64 - 1, np.uint64))), "sets")
+    nodes = df.select("node", F.col("node").alias("class"), F.lit(1.0).alias("weight"))
+    pairs = spark.range(150).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
+    alike = [(r.a, r.b) for r in near_dedup.similarities(pairs, sets, idf).collect() if 0.78 <= r.j]
+    j = min(r.j for r in near_dedup.similarities(pairs, sets, idf).collect())
+    held = collections.defaultdict(set)
+    for r in near_dedup.finer(nodes, sets, idf, j).collect():
+        held[r.node].add(r.bucket)
+    assert len(alike) == 150 and j < 0.85 and all(held[a] & held[b] for a, b in alike)
+    assert all(len(held[i]) < 60 for i in held)
+
+
 def test_sampling_follows_weighted_similarity():
     rng = np.random.default_rng(0)
     s = near_dedup.Sampler(samples=2000)
