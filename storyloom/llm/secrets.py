@@ -3,7 +3,8 @@
 Each text is a worklist of layers. The text itself is the first; a layer gives rise
 to one more for each kind of encoding found in it, in which every such stretch is
 replaced by what it encodes: URL escapes, Unicode escapes, base64, and base64 of
-compressed data (gzip, zlib, bzip2, xz, also nested). A layer that was seen before
+compressed data (gzip, zlib, bzip2, xz, also nested), on one line or wrapped. Any that
+is UTF-8 is a layer, whatever its characters. A layer that was seen before
 is not entered again, so that cycles end; the work stops at the fixpoint. Every
 layer is scanned, and what is found in it is mapped back, piece by piece, to code
 points of the text: an escape stands for its own characters, a base64 group of four
@@ -49,6 +50,9 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\[uUx]([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The first line of base64 over several, which begins as compressed data does; and a line.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:H4sI|Qlpo|[/_]Td6WFo|[CGKOSWae][A-P])[A-Za-z0-9+/_-]*[ \t]*\r?\n(?=[ \t]*[A-Za-z0-9+/_-])")
+_WRAPPED_LINE = re.compile(r"[ \t]*([A-Za-z0-9+/_-]+={0,2})(?:[ \t]*\r?\n)?")
 _MAY_ASSIGN = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 #: Stretches of a decoded layer: (start there, end there, start in the layer before, end there, character for character).
@@ -110,18 +114,14 @@ def _bytes_of(m: re.Match) -> bytes | None:
         return None
 
 
-def _printable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\t\n\r" for c in text)
-
-
 def _base64(m: re.Match, _: list) -> tuple[str, Map] | None:
     raw = _bytes_of(m)
     got = raw and _characters(raw, m.start(), lambda b: (b // 3 * 4, min(b // 3 * 4 + 4, m.end() - m.start())))
-    return got if got and _printable(got[0]) else None
+    return got or None
 
 
-def _inflate(raw: bytes, refused: list) -> bytes | None:
-    """One compressed layer off; None if raw isn't compressed."""
+def _makers(raw: bytes) -> list[Callable]:
+    """Decompressors of what the first bytes may begin."""
     makers = []
     if raw[:2] == b"\x1f\x8b":
         makers.append(lambda: zlib.decompressobj(31))
@@ -131,11 +131,19 @@ def _inflate(raw: bytes, refused: list) -> bytes | None:
         makers.append(bz2.BZ2Decompressor)
     if raw[:6] == b"\xfd7zXZ\0":
         makers.append(lzma.LZMADecompressor)
-    for make in makers:
+    return makers
+
+
+_NO_DATA = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
+
+
+def _inflate(raw: bytes, refused: list) -> bytes | None:
+    """One compressed layer off; None if raw isn't compressed."""
+    for make in _makers(raw):
         try:
             d = make()
             out = d.decompress(raw, MOST_BYTES + 1)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        except _NO_DATA:
             continue
         if len(out) > MOST_BYTES:
             refused.append(len(raw))
@@ -145,27 +153,61 @@ def _inflate(raw: bytes, refused: list) -> bytes | None:
     return None
 
 
-def _compressed(m: re.Match, refused: list) -> tuple[str, Map] | None:
-    raw, seen = _bytes_of(m), set()
-    inner = None
+def _innermost(raw: bytes | None, refused: list) -> str | None:
+    """The text of data compressed once or more; None if it isn't compressed, or no text."""
+    seen, inner = set(), None
     while raw and (key := hashlib.sha256(raw).digest()) not in seen and (got := _inflate(raw, refused)) is not None:
         seen.add(key)
         raw = inner = got
     try:
-        text = inner.decode() if inner else ""
+        return inner.decode() if inner else None
     except UnicodeDecodeError:
         return None
-    return (text, [(0, len(text), m.start(), m.end(), False)]) if _printable(text) else None
 
 
-_DECODERS = ((_URL, _url), (_UNICODE, _unicode), (_BASE64, _base64), (_BASE64, _compressed))
+def _compressed(m: re.Match, refused: list) -> tuple[str, Map] | None:
+    text = _innermost(_bytes_of(m), refused)
+    return (text, [(0, len(text), m.start(), m.end(), False)]) if text else None
+
+
+def _wrapped(m: re.Match, refused: list) -> tuple[str, Map] | None:
+    """Compressed data in base64 over several lines, read line by line as far as the data goes."""
+    d, raw, body, size, at = None, [], "", 0, m.start()
+    while (line := _WRAPPED_LINE.match(m.string, at)) is not None:
+        body += line[1].rstrip("=").replace("-", "+").replace("_", "/")
+        last = line[1].endswith("=") or not line[0].endswith("\n") or _WRAPPED_LINE.match(m.string, line.end()) is None
+        use = len(body) if last and len(body) % 4 != 1 else len(body) // 4 * 4
+        part = base64.b64decode(body[:use] + "=" * (-use % 4))
+        body, at, end = body[use:], line.end(), line.end(1)
+        raw.append(part)
+        try:
+            if d is None:
+                if len(part) < 8 and not last:  # too short to tell what it is
+                    body, raw = base64.b64encode(part).decode() + body, []
+                    continue
+                if not (makers := _makers(part)):
+                    return None
+                d = makers[0]()
+            size += len(d.decompress(part, MOST_BYTES + 1 - size))
+        except _NO_DATA:
+            return None
+        if size > MOST_BYTES:
+            refused.append(sum(map(len, raw)))
+            return None
+        if d.eof or last:
+            break
+    text = _innermost(b"".join(raw), refused) if d is not None and d.eof else None
+    return (text, [(0, len(text), m.start(), end, False)]) if text else None
+
+
+_DECODERS = ((_URL, _url), (_UNICODE, _unicode), (_BASE64, _base64), (_BASE64, _compressed), (_WRAPPED, _wrapped))
 
 
 def _unwrapped(text: str, pattern: re.Pattern, decode: Callable, refused: list) -> tuple[str, Map] | None:
     """The text with all stretches of one encoding decoded, and where its characters come from; None if there are none."""
     parts, places, at, n = [], [], 0, 0
     for m in pattern.finditer(text):
-        got = decode(m, refused)
+        got = decode(m, refused) if m.start() >= at else None
         if got is None:
             continue
         if m.start() > at:
@@ -175,7 +217,7 @@ def _unwrapped(text: str, pattern: re.Pattern, decode: Callable, refused: list)
         parts.append(got[0])
         places += [(n + a, n + b, s, e, same) for a, b, s, e, same in got[1]]
         n += len(got[0])
-        at = m.end()
+        at = max(m.end(), got[1][-1][3])
     if not at:
         return None
     if at < len(text):

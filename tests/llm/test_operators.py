@@ -314,6 +314,29 @@ def test_secrets_through_layers():
     assert secrets.scan_text(bomb)[3] >= 1
 
 
+@pytest.mark.parametrize("pack", ["gzip", "zlib", "bz2", "lzma"])
+def test_secrets_in_wrapped_data(pack):
+    import base64
+    import importlib
+
+    inner = prose(random.Random(2), 400) + " password=hunter2222 " + prose(random.Random(3), 400)
+    data = base64.encodebytes(importlib.import_module(pack).compress(inner.encode())).decode()
+    assert data.count("\n") > 5
+    for one in (data, data.replace("\n", "\r\n"), data.replace("\n", "\n  ")):
+        body = one.rstrip()
+        text = f"CHAPTER\nbefore\n{body}\n\nplain words after"
+        assert ("assign", 15, 15 + len(body)) in secrets.scan_text(text)[1]
+        assert secrets.redacted(text, secrets.scan_text(text)[1]) == "CHAPTER\nbefore\n[assign]\n\nplain words after"
+
+
+@pytest.mark.parametrize("odd", ["\u00a0", "\ufeff", "\u00ad", "\f", "\x1b[31m"])
+def test_secrets_beside_characters_that_do_not_print(odd):
+    import base64
+
+    for raw in (f"log {odd} password=hunter2222 end".encode(), zlib.compress(f"log {odd} password=hunter2222 end".encode())):
+        assert any(k == "assign" for k, *_ in secrets.scan_text("x " + base64.b64encode(raw).decode() + " y")[1])
+
+
 def test_secret_rows(stored):
     got = secrets.scan(stored).collect()
     assert len(got) == len(corpus()) and sum(len(r.spans) for r in got) == 3
