@@ -24,39 +24,40 @@ class Model(Protocol):
 
 
 class TemplateExtractor:
-    """Reads the synthetic stories' sentences back: each template is a pattern."""
+    """Reads the synthetic stories' sentences back: each template is a pattern, and a name is two capitalised words or more."""
 
     def __init__(self) -> None:
-        name = r"((?:[A-Z]\w+ )?[A-Z]\w+ [A-Z]\w+|[A-Z]\w+ [A-Z]\w+)"
-        name = r"([A-Z]\w+(?: [A-Z]\w+)+)"
+        name = r"[A-Z]\w+(?: [A-Z]\w+)+"
+        groups = {"subj": f"(?P<s>{name})", "obj": f"(?P<o>{name})", "relation": "(?P<r>[a-z ]+?)"}
         self.patterns = []
         for relation, sentences in synth.SAID.items():
             for s in sentences:
-                p = re.escape(s)
-                for field, group in (("subj", f"(?P<s>{name[1:-1]})"), ("obj", f"(?P<o>{name[1:-1]})"), ("relation", r"(?P<r>[a-z ]+?)")):
-                    p = p.replace(re.escape("{" + field + "}"), group)
-                self.patterns.append((relation, re.compile(p)))
+                parts = re.split(r"\{(\w+)\}", s)  # text and field by turns
+                self.patterns.append((relation, re.compile("".join(groups[x] if i % 2 else re.escape(x) for i, x in enumerate(parts)))))
 
     def __call__(self, passage: str = "", **_: str) -> str:
         out = []
         for relation, p in self.patterns:
             for m in p.finditer(passage):
                 r = relation or m["r"].upper().replace(" ", "_")
-                out.append({"subject": m["s"].removeprefix("On the quay ").removeprefix("Every dawn "), "relation": r, "object": m["o"], "confidence": 0.9, "evidence_span": {"text": m[0], "start": m.start(), "end": m.end()}})
+                out.append({"subject": m["s"], "relation": r, "object": m["o"], "confidence": 0.9, "evidence_span": {"text": m[0], "start": m.start(), "end": m.end()}})
         return json.dumps({"triples": out})
 
 
 class TemplateProfiler:
-    """Scores a trait by the synthetic sentences that show it."""
+    """Scores a trait by the synthetic sentences that show much or little of it: the mean level of those found."""
 
     def __call__(self, person: str = "", context: str = "", **_: str) -> str:
         traits = []
         for t in TRAITS:
-            for score, sentence in zip((0.8, 0.2), synth.SHOWN[t], strict=True):
-                s = sentence.format(char=person)
-                spans = [{"text": s, "start": m.start(), "end": m.end()} for m in re.finditer(re.escape(s), context)]
-                if spans:
-                    traits.append({"trait_name": t, "score": score, "confidence": 0.9, "evidence_spans": spans})
+            spans, levels = [], []
+            for level, sentences in zip(synth.LEVELS, synth.SHOWN[t], strict=True):
+                for s in (x.format(char=person) for x in sentences):
+                    found = [{"text": s, "start": m.start(), "end": m.end()} for m in re.finditer(re.escape(s), context)]
+                    spans += found
+                    levels += [level] * len(found)
+            if spans:
+                traits.append({"trait_name": t, "score": sum(levels) / len(levels), "confidence": 0.9, "evidence_spans": spans})
         return json.dumps({"person_name": person, "traits": traits})
 
 
