@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.operators.tables import Scratch, shared_dir, written
+
+__all__ = ["Scratch", "shared_dir", "written"]
+
 #: The white space that parts words in every operator here.
 SPACES = "\t\n\x0b\f\r "
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -34,24 +38,6 @@ def key128(text: Column, salt: str = "storyloom") -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(salt), text)]
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which the cluster shares; a local one only where none is set, as in tests."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.gettempdir() + "/storyloom-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as a table in the shared folder and read again: lineage ends here, and a lost executor loses none of it."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def most_frequent(counts: DataFrame, count: str, n: int) -> DataFrame:
     """At most n rows of the highest counts, those of equal level (a 64th of an octave) all or none: no task sends its own n to the driver."""
     level = F.floor(F.log2(F.col(count).cast("double")) * 64).cast("int")

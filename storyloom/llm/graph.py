@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import written
+from storyloom.llm.common import Scratch
 
 
 def salt_of(column: str, df: DataFrame) -> Column:
@@ -23,7 +23,7 @@ def with_group(df: DataFrame, keys: list[str], spread: str, sums: dict[str, tupl
     return rows.join(back, [*keys, "_salt"]).drop("_salt")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, class): the least node of the component of each node that has an edge.
 
     Each round a node takes the least label of its neighbours and then that label's own,
@@ -31,13 +31,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a table in the shared folder. A hub is spread: its edges meet its label in a join that
     Spark may split, and minima are taken before they meet.
     """
-    links = written(edges.select(F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v"), "edges")
-    label = written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("class")), "labels")
+    links = scratch.written(edges.select(F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v"), "edges")
+    label = scratch.written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("class")), "labels")
     while True:
         seen = links.join(label, links["v"] == label["node"]).groupBy("u").agg(F.min("class").alias("m"))
         step = label.join(seen, label["node"] == seen["u"]).select("node", F.col("class").alias("was"), F.least("class", "m").alias("m"))
         jump = step.join(label.select(F.col("node").alias("m"), F.col("class").alias("j")), "m", "left")
-        new = written(jump.select("node", "was", F.least("m", F.coalesce("j", "m")).alias("class")), "labels")
+        new = scratch.written(jump.select("node", "was", F.least("m", F.coalesce("j", "m")).alias("class")), "labels")
         label = new.select("node", "class")
         if new.filter("was <> class").isEmpty():
             return label

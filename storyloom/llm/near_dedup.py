@@ -1,8 +1,11 @@
 """Near-duplicate documents: consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five words (A-Z lower-cased; a text of one to four words has one of all
-of them), weighted by (1 + log2 tf) * (1 + DAMP * ln(N / df) / ln N). The document
-frequencies are counted over all documents, in 2**18 hashed counters. The damping keeps
+of them), weighted by (1 + log2 tf) * (1 + DAMP * idf). The idf is ln(N / df) against
+ln(1 / FLOOR), 1 at most: a shingle that fewer than FLOOR of all documents hold counts as
+one that FLOOR of them hold. So it doesn't change with the number of documents,
+and 2**18 hashed counters over all documents suffice: what other shingles add to a counter is
+about the same for all, is estimated by the median and taken off. The damping keeps
 the weight of a shingle that a large group of copies shares near that of others: undamped,
 copies would look the less alike the more of them there are.
 
@@ -12,24 +15,21 @@ same (shingle, t) with the probability of their weighted Jaccard similarity. The
 r, c, beta come from a table by a hash of the shingle, and weights are rounded to
 eighths of an octave for the draw (not for the check). 16 bands of 4 samples make buckets.
 
-Texts with equal shingles are one node. In each bucket two members are centres, and
-each member is compared with them by exact weighted Jaccard similarity; links join nodes to
-classes. A few bands are joined first, so that large groups of copies are classes before
-the others. A bucket is done when it lies in one class, which for nearly all is at once.
-In what is left, members are dealt by their total weight, as texts whose totals differ by more
-than the threshold allows are less alike than that. Where more than 64 members are left together (texts
-around one common passage, mostly), they are bucketed anew by each shingle of their prefix: their
-shingles, rarest first, as far as the weight of the rest could still reach the threshold. Texts as alike
-as that share a shingle of both prefixes, so this loses no pair. Each round compares all with 32 more
-members (64 in the second round, 128 from the third on), those of the bucket's smallest classes first,
-and takes these out, until no bucket with several classes is left.
+Texts with equal shingles are one node. Links are found in two steps, each a
+bounded number of jobs whatever the data. First, in the buckets of a few bands, each member is compared with two centres
+of its bucket by exact weighted Jaccard similarity, which makes one class of most groups of copies. Then, in
+each bucket of any band that still holds several classes, all members of different classes are
+compared: the bucket's largest class and its other members are dealt into blocks of bounded size, and each block of others meets each
+block, in one task, as rows of sparse matrices. Members of the largest class never meet each other, so a
+bucket costs its members times the blocks of those that are not of that class. No bucket is capped or
+sampled: each pair that shares a bucket is in one class already, or is compared, or differs too much in weight.
 
 Defined cases: a null or empty text has no shingles, and all such texts are one class;
 rows with the same ``doc_id`` are one document and end up in one class; for a null
 ``doc_id`` stands a number from 2**62 on made of the text's hash, so that rows without an id and
 with equal texts are one document and a class is named by a real id if it has one; ties don't matter,
 as a class is named by its least id; an empty table gives an empty result. Extra columns
-are not read by ``near_classes`` and pass through ``keep_one``; only the name ``_near_id`` is taken.
+are not read by ``near_classes`` and pass through ``keep_one``; only names that begin with ``_near_`` are taken.
 """
 
 from __future__ import annotations
@@ -43,18 +43,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyloom.llm.arrow import as_binary, byte_offsets, pieces
-from storyloom.llm.common import documents, written
-from storyloom.llm.graph import components, salt_of, with_group
+from storyloom.llm.common import Scratch, documents
+from storyloom.llm.graph import components, with_group
 from storyloom.llm.spans import hash_spans, mix, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-DF_BITS, DAMP = 18, 0.25
+DF_BITS, DAMP, FLOOR = 18, 0.25, 1 / 128
 _VARIATES, _LEVELS, _PER_OCTAVE = 1 << 14, 64, 8
-#: Centres of a bucket: at first, and in the rounds after, which double them up to the last.
-CENTRES, MORE_CENTRES, MOST_CENTRES = 2, 32, 128
-#: Bands whose buckets are joined first; and from how many members on a bucket is divided by prefixes.
-FIRST_BANDS, LARGE = 2, 64
+#: Bands whose buckets are joined first, and the members of a bucket that all others meet then.
+FIRST_BANDS, CENTRES = 4, 2
+#: Members of a block, and their shingles.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 18
+#: Bits of the filter for a node, and in all; where more are needed, a join takes the filter's place.
+NODE_BITS, MOST_BITS = 16, 1 << 27
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,8 +102,8 @@ def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(n: np.ndarray, documents: int, damp: float = DAMP) -> np.ndarray:
-    total = max(2, documents)
-    return 1 + damp * np.log(total / np.clip(n, 1, total)) / np.log(total)
+    share = (n - np.median(n)) / max(1, documents)
+    return 1 + damp * np.minimum(1, np.log(np.clip(share, FLOOR, 1)) / np.log(FLOOR))
 
 
 def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -138,11 +140,11 @@ def _sums(begin: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, begin)
 
 
-SIGNED = "id long, doc_id long, k1 long, k2 long, weight double, bands array<long>"
+SIGNED = "id long, doc_id long, k1 long, k2 long, weight double, size int, bands array<long>"
 
 
 def signatures(df: DataFrame, idf) -> DataFrame:
-    """(id, doc_id, k1, k2, weight, bands) of (id, text, doc_id): 128 bits that equal shingles share, their total weight, and a hash for each band (none without shingles)."""
+    """(id, doc_id, k1, k2, weight, size, bands) of (id, text, doc_id): 128 bits that equal shingles share, their total weight and number, and a hash for each band (none without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -152,6 +154,7 @@ def signatures(df: DataFrame, idf) -> DataFrame:
             k1, k2 = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64)
             bands = np.zeros((len(b), BANDS), np.uint64)
             full, total = np.zeros(len(b), bool), np.zeros(len(b))
+            size = np.bincount(text, minlength=len(b)).astype(np.int32)
             if len(h):
                 at, begin = np.unique(text, return_index=True)
                 full[at] = True
@@ -166,18 +169,18 @@ def signatures(df: DataFrame, idf) -> DataFrame:
                 bands[at] = key
             count = np.where(full, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(bands[full].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), lists], ["id", "doc_id", "k1", "k2", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), pa.array(size), lists], ["id", "doc_id", "k1", "k2", "weight", "size", "bands"])
 
     return df.mapInArrow(run, SIGNED)
 
 
-def shingle_sets(df: DataFrame, wanted) -> DataFrame:
-    """(node, hashes, counts) of the documents whose bit is set in ``wanted``."""
+def shingle_sets(df: DataFrame, wanted=None) -> DataFrame:
+    """(node, hashes, counts) of (node, text), where ``wanted`` is given only of nodes whose bit is set there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for b in pieces(batches):
-            b = b.filter(pa.array(_is_set(bits, b.column(0).to_numpy())))
+            if wanted is not None:
+                b = b.filter(pa.array(_is_set(wanted.value, b.column(0).to_numpy())))
             if not len(b):
                 continue
             text, h, tf = shingles(b.column(1))
@@ -187,28 +190,31 @@ def shingle_sets(df: DataFrame, wanted) -> DataFrame:
     return df.mapInArrow(run, "node long, hashes binary, counts binary")
 
 
-def _slots(nodes: np.ndarray) -> np.ndarray:
-    return (mix(nodes.view(np.uint64) + np.uint64(0)) >> np.uint64(40)).astype(np.int64)
+def _slots(nodes: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(nodes.view(np.uint64) + np.uint64(0)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _is_set(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    slot = _slots(nodes)
-    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+def _is_set(words: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    slot = _slots(nodes, 64 * len(words))
+    return (words[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def wanted_bits(nodes: DataFrame) -> np.ndarray:
-    """2**24 bits of which every node sets one: a filter of fixed size that lets through all nodes and few others."""
+def node_filter(nodes: DataFrame) -> np.ndarray | None:
+    """Bits of which every node sets one; none where they would be more than MOST_BITS."""
+    bits = 1 << max(12, (NODE_BITS * nodes.count()).bit_length())
+    if bits > MOST_BITS:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << 18, np.uint64)
         for b in batches:
-            slot = _slots(b.column(0).to_numpy())
-            np.bitwise_or.at(bits, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["word", "bits"])
+            slot = np.unique(_slots(b.column(0).to_numpy(), bits))
+            word, first = np.unique(slot >> 6, return_index=True)
+            if len(word):
+                value = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["word", "bits"])
 
     got = nodes.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << 18, np.uint64)
+    out = np.zeros(bits >> 6, np.uint64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -227,85 +233,120 @@ def similarities(pairs: DataFrame, sets: DataFrame, idf) -> DataFrame:
                 j.append(float(both / max(wa.sum() + wb.sum() - both, 1e-300)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j, pa.float64())], ["a", "b", "j"])
 
-    needed = _only(sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    side = lambda k: needed.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"), F.col("counts").alias(f"c{k}"))
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"), F.col("counts").alias(f"c{k}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "ca", "hb", "cb")
     return met.mapInArrow(run, "a long, b long, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
-def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The sets of the nodes, and few others: what need not move is left out by a filter of fixed size."""
-    wanted = sets.sparkSession.sparkContext.broadcast(wanted_bits(nodes))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_is_set(wanted.value, b.column(0).to_numpy())))
-
-    return sets.mapInArrow(run, sets.schema)
-
-
-def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Each member of a bucket with each of its centres, least first; not those of one class or too unlike in weight."""
-    fit = F.filter("centres", lambda c: (c["class"] != F.col("class")) & (_ratio(c) >= threshold - 1e-9))
-    x = rows.select("node", F.explode(fit).alias("c"))
+def centre_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's centres, its members of least hash; not those too unlike in weight."""
+    order = lambda i: F.struct(F.xxhash64(F.lit(i), "node").alias("h"), F.col("node"), F.col("weight"))
+    names = [f"c{i}" for i in range(CENTRES)]
+    x = with_group(rows, ["bucket"], "node", {c: (order(i), F.min) for i, c in enumerate(names)})
+    fit = lambda c: (c["node"] != F.col("node")) & (F.least("weight", c["weight"]) >= (threshold - 1e-9) * F.greatest("weight", c["weight"]))
+    x = x.select("node", F.explode(F.array_distinct(F.filter(F.transform(F.array(*names), lambda c: F.struct(c["node"].alias("node"), c["weight"].alias("weight"))), fit))).alias("c"))
     return x.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def _ratio(centre):
-    return F.least("weight", centre["weight"]) / F.greatest("weight", centre["weight"])
-
-
-def _centre(of: str):
-    return F.struct(*(F.col(f"{of}.{c}").alias(c) for c in ("node", "class", "weight")))
-
-
-def _with_centres(rows: DataFrame, n: int = CENTRES) -> DataFrame:
-    """The rows of buckets that hold more than one class, each with n of the bucket's members."""
-    order = lambda i: F.struct(F.xxhash64(F.lit(i), "node").alias("h"), F.col("node"), F.col("class"), F.col("weight"))
-    sums = {"low": (F.col("class"), F.min), "high": (F.col("class"), F.max)} | {f"c{i}": (order(i), F.min) for i in range(n)}
-    out = with_group(rows, ["bucket"], "node", sums).filter("low <> high")
-    return out.select("bucket", "node", "class", "weight", F.array_distinct(F.array(*(_centre(f"c{i}") for i in range(n)))).alias("centres"))
-
-
-def _with_more_centres(rows: DataFrame, n: int) -> DataFrame:
-    """The same, with the n members of the bucket's smallest classes; of buckets with the same members one is enough."""
-    sums = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("x"), "node")).alias("y")]
-    mixed = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), *sums).filter("low <> high")
-    mixed = mixed.groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    x = written(rows.join(mixed, "bucket").select("bucket", "node", "class", "weight"), "mixed")
-    x = with_group(x.withColumn("_one", F.lit(1)), ["bucket", "class"], "node", {"size": (F.col("_one"), F.count)}).drop("_one").withColumn("_salt", salt_of("node", rows))
-    x = written(x, "sized")
-    top = x
-    for part in (["_salt"], []):  # the first n of each part of a bucket, then of these
-        top = top.withColumn("_n", F.row_number().over(W.partitionBy("bucket", *part).orderBy("size", F.xxhash64("node")))).filter(F.col("_n") <= n)
-    centres = top.groupBy("bucket").agg(F.collect_list(F.struct("node", "class", "weight")).alias("centres"))
-    parts = x.select("bucket", "_salt").distinct().join(centres, "bucket")
-    return x.join(parts, ["bucket", "_salt"]).select("bucket", "node", "class", "weight", "centres")
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, n, t, main): buckets with several classes, their members and these members' shingles, and count, class and
+    shingles of the largest class; of buckets with the same members one. Members are summed by class before a bucket's classes meet."""
+    xor = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(salt)
+    parts = rows.groupBy("bucket", "class").agg(F.count("*").alias("nc"), F.sum(F.col("size").cast("long")).alias("tc"), xor("x"), xor("y"))
+    sums = [F.sum("nc").alias("n"), F.sum("tc").alias("t"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("nc", "class", "tc")).alias("main")]
+    whole = parts.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), *sums).filter("low <> high")
+    return whole.groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "t", "main")).alias("b")).select("b.bucket", "n", "b.t", "b.main")
+
+
+def blocks(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(gid, side, node, class) of (bucket, node, class): members of ``mixed_buckets``, dealt into groups of
+    two blocks at most. Sides 0 and 1 are to be compared with each other, those of side 2 among themselves."""
+    x = rows.select("bucket", "node", "class").join(buckets, "bucket")
+    count = lambda n, t: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(t / BLOCK_SHINGLES)).cast("int")
+    x = x.withColumn("bm", count(F.col("main.nc"), F.col("main.tc"))).withColumn("bo", count(F.col("n") - F.col("main.nc"), F.col("t") - F.col("main.tc")))
+    is_main = F.col("class") == F.col("main.class")
+    x = x.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.when(is_main, F.col("bm")).otherwise(F.col("bo"))).cast("int"))
+    group = lambda kind, i, j, side: F.struct(F.xxhash64(F.lit(kind), "bucket", i, j).alias("gid"), side.alias("side"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own, zero = F.col("own"), F.lit(0)
+    as_main = F.transform(to("bo"), lambda j: group("main", own, j, F.lit(0)))
+    with_main = F.transform(to("bm"), lambda i: group("main", i, own, F.lit(1)))
+    others = F.transform(to("bo"), lambda j: group("other", F.least(own, j), F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
+    small = (F.col("n") <= BLOCK) & (F.col("t") <= BLOCK_SHINGLES)
+    to_groups = F.when(small, F.array(group("all", zero, zero, F.lit(2)))).when(is_main, as_main).otherwise(F.concat(with_main, others))
+    return x.select("node", "class", F.explode(to_groups).alias("g")).select("g.gid", "g.side", "node", "class")
+
+
+def alike(side: np.ndarray, cls: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between the classes of a group, as many as join them: (class, class) of members that are alike enough."""
+    length = np.array([len(h) for h in hashes])
+    h, tf, at = np.concatenate(hashes), np.concatenate(counts).astype(np.int64), np.repeat(np.arange(len(hashes)), length)
+    more = np.repeat(np.arange(len(h)), tf)  # the k-th of a shingle's repeats is an element by itself: what two texts share are minima
+    k = np.arange(len(more)) - np.repeat(np.cumsum(tf) - tf, tf) + 1
+    gain = np.where(k == 1, 1, np.log2(k) - np.log2(np.maximum(k - 1, 1)))
+    w = gain * idf[(h[more] >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+    total = np.bincount(at[more], weights=w, minlength=len(hashes))
+    _, first, column, n = np.unique(mix(h[more] + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True, return_counts=True)
+    held = np.flatnonzero(n > 1)
+    new = np.full(len(n), -1)
+    new[held] = np.arange(len(held))
+    element, column = np.flatnonzero(n[column] > 1), new[column[n[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    element, column = element[order], column[order]
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    both = np.zeros((len(left), len(right)))
+    for lo in range(0, len(held), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(hashes), min(4096, len(held) - lo)))
+        m[at[more[element[a:b]]], column[a:b] - lo] = 1
+        both += m[left] * w[first[held[lo : lo + 4096]]] @ m[right].T
+    j = both / np.maximum(total[left][:, None] + total[right][None, :] - both, 1e-300)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            c = up
+        return c
+
+    out = []
+    for a, b in zip(*np.nonzero((j >= threshold) & (cls[left][:, None] != cls[right][None, :])), strict=True):
+        ca, cb = find(int(cls[left[a]])), find(int(cls[right[b]]))
+        if ca != cb:
+            root[max(ca, cb)] = min(ca, cb)
+            out.append((min(ca, cb), max(ca, cb)))
+    return out
 
 
-def finer(nodes: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
-    """(bucket, node, class, weight): each node in a bucket for each shingle of its prefix, in which it meets all that are as alike as the threshold."""
+def block_links(dealt: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): classes that hold members as alike as the threshold, by the groups of ``blocks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: list[tuple]) -> list[tuple[int, int]]:
+            side, cls = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            if len(rows) < 2 or (cls == cls[0]).all():
+                return []
+            return alike(side, cls, [np.frombuffer(r[3], np.uint64) for r in rows], [np.frombuffer(r[4], np.uint16) for r in rows], idf.value, threshold)
+
+        group: list[tuple] = []
         for b in batches:
-            count, buckets = [], []
-            for h, tf in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                h = np.frombuffer(h, np.uint64)
-                w = weights(h, np.frombuffer(tf, np.uint16), idf.value)
-                order = np.lexsort((h, -weights(h, np.ones(len(h)), idf.value)))  # one order for all texts
-                left = np.cumsum(w[order][::-1])[::-1]
-                buckets.append(h[order[left >= threshold * left[0] - 1e-6]])
-                count.append(len(buckets[-1]))
-            at = pa.array(np.repeat(np.arange(len(b)), count))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets or [np.zeros(0, np.uint64)]).view(np.int64)), *(b.column(i).take(at) for i in range(3))], ["bucket", "node", "class", "weight"])
+            links = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and r[0] != group[0][0]:
+                    links += found(group)
+                    group = []
+                group.append(r)
+            if links:
+                yield _links(links)
+        if group and (links := found(group)):
+            yield _links(links)
 
-    near = _only(sets, nodes.select("node")).join(nodes, "node").select("node", "class", "weight", "hashes", "counts")
-    return near.mapInArrow(run, "bucket long, node long, class long, weight double")
+    x = dealt.join(sets, "node").select("gid", "side", "class", "hashes", "counts").repartition("gid").sortWithinPartitions("gid")
+    return x.mapInArrow(run, "a long, b long").distinct()
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """Without the centres, which all others have been compared with, and without the classes, which have changed."""
-    return rows.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).drop("class", "centres")
+def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(links, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
 def _id():
@@ -320,60 +361,43 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _classes(df: DataFrame, threshold: float) -> DataFrame:
     """The same with ``id``, which is never null."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc, scratch = df.sparkSession.sparkContext, Scratch(df.sparkSession)
     docs = df.select(_id().alias("id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     idf = sc.broadcast(idf_table(*document_frequencies(docs)))
-    signed = written(signatures(docs, idf), "signatures")
+    signed = scratch.written(signatures(docs, idf), "signatures")
     groups = with_group(signed.select("doc_id", "id", "k1", "k2", F.lit(1).alias("_one")), ["k1", "k2"], "id", {"rep": (F.col("id"), F.min), "n_copies": (F.col("_one"), F.count)})
-    members = written(groups.drop("_one"), "members")
+    members = scratch.written(groups.drop("_one"), "members")
     nodes = signed.join(members.filter("id = rep").select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"])
-    rows = nodes.select(F.col("id").alias("node"), "weight", F.posexplode("bands").alias("band", "bucket"))
+    rows = nodes.select(F.col("id").alias("node"), "weight", "size", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    shared = written(rows.join(shared, "bucket"), "buckets")
-    wanted = sc.broadcast(wanted_bits(shared.select("node").distinct()))
-    no_id = F.col("doc_id").isNull()
-    sets = written(shingle_sets(docs.filter(~no_id), wanted).unionByName(shingle_sets(docs.filter(no_id), wanted).dropDuplicates(["node"])), "sets")
+    shared = scratch.written(rows.join(shared, "bucket"), "buckets")
+    wanted = shared.select("node").distinct()
+    bits = node_filter(wanted)
+    texts = docs.select(F.col("id").alias("node"), "text", F.col("doc_id").isNull().alias("no_id"))
+    if bits is None:
+        texts, filtered = texts.join(wanted, "node", "left_semi"), None
+    else:
+        filtered = sc.broadcast(bits)
+    sets = shingle_sets(texts.filter("not no_id"), filtered).unionByName(shingle_sets(texts.filter("no_id"), filtered).dropDuplicates(["node"]))
+    sets = scratch.written(sets, "sets")
     # texts that came under one id are one document
-    links = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(members.filter("id = rep").select(F.col("id").alias("a")), "a", "left_semi")
-    classes = None
-
-    def joined(found: DataFrame | None) -> None:
-        """Takes in new links."""
-        nonlocal links, classes
-        more = links if found is None else found.select("a", "b")
-        if not more.isEmpty():
-            links = links if found is None else links.union(more)
-            classes = components(links)
-
-    def classed(x: DataFrame) -> DataFrame:
-        return x.withColumn("class", F.col("node")) if classes is None else x.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-
-    joined(None)
-    for part in (F.col("band") < FIRST_BANDS, F.lit(True)):
-        rows = written(_with_centres(classed(shared.filter(part).drop("band"))), "buckets")
-        joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links"))
-    level = F.floor(F.log("weight") / F.lit(float(-np.log(threshold)))).cast("long")  # linked texts differ by one at most
-    x = classed(_rest(rows)).withColumn("level", F.explode(F.array(level, level + 1))).withColumn("bucket", F.xxhash64("level", "bucket"))
-    sums = {"members": (F.lit(1), F.count), "low": (F.col("class"), F.min), "high": (F.col("class"), F.max)}
-    x = written(with_group(x.select("bucket", "node", "class", "weight"), ["bucket"], "node", sums).filter("low <> high").drop("low", "high"), "rest")
-    small = x.filter(F.col("members") <= LARGE).drop("members")
-    large = written(x.filter(F.col("members") > LARGE).select("node", "class", "weight").distinct(), "large")
-    n = MORE_CENTRES
-    rows = written(_with_more_centres(small.unionByName(finer(large, sets, idf, threshold)), n), "buckets")
-    while not rows.isEmpty():
-        joined(written(similarities(_pairs(rows, threshold), sets, idf).filter(F.col("j") >= threshold), "links"))
-        n = min(2 * n, MOST_CENTRES)
-        rows = written(_with_more_centres(classed(_rest(rows)), n), "buckets")
-    out = classed(members.withColumn("node", F.col("rep")))
-    return out.select("id", "doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("n_copies").cast("long").alias("n_copies"))
+    several = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(members.filter("id = rep").select(F.col("id").alias("a")), "a", "left_semi")
+    met = similarities(centre_pairs(shared.filter(F.col("band") < FIRST_BANDS), threshold), sets, idf).filter(F.col("j") >= threshold)
+    first = scratch.written(components(several.union(met.select("a", "b")).distinct(), scratch), "first").withColumnRenamed("class", "_class")
+    classed = scratch.written(shared.join(first, "node", "left").withColumn("class", F.coalesce("_class", "node")).select("bucket", "node", "class", "size"), "classed")
+    dealt = blocks(classed, scratch.written(mixed_buckets(classed), "mixed"))
+    second = components(block_links(dealt, sets, idf, threshold), scratch).select(F.col("node").alias("_class"), F.col("class").alias("_last"))
+    out = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("_class", F.coalesce("_class", "rep")).join(second, "_class", "left")
+    return scratch.last(out.select("id", "doc_id", F.coalesce("_last", "_class").alias("class_id"), F.col("n_copies").cast("long").alias("n_copies")), "classes")
 
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows and columns that came, one document of each class: the one with the least id."""
-    stays = _classes(df, threshold).filter("id = class_id").select(F.col("id").alias("_stays")).distinct()
-    rows = df.withColumn("_near_id", _id())
-    return rows.join(stays, rows["_near_id"] == F.col("_stays"), "left_semi").dropDuplicates(["_near_id"]).drop("_near_id")
+    """The rows and columns that came, one document of each class: the one with the least id. Of rows with one id the first text, by its hash, stays."""
+    stays = _classes(df, threshold).filter("id = class_id").select(F.col("id").alias("_near_stays")).distinct()
+    first = W.partitionBy("_near_id").orderBy("_near_hash")
+    rows = df.withColumn("_near_id", _id()).withColumn("_near_hash", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.withColumn("_near_n", F.row_number().over(first)).filter("_near_n = 1")
+    return rows.join(stays, rows["_near_id"] == F.col("_near_stays"), "left_semi").drop("_near_id", "_near_hash", "_near_n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
