@@ -3,8 +3,8 @@
 All words of all texts are counted; the ``lexicon_words`` most frequent are encoded
 once and compiled, with their ids, into a minimal acyclic transducer (``lexicon``),
 which workers memory-map. Words outside it are merged exactly (``bytebpe``), and a worker
-remembers what it has looked up or merged. Texts with characters from U+0100 on, or
-with a special token's text, go through the tokenizers library itself.
+remembers what it has looked up or merged. Special tokens part a text. Only texts with a character
+newer than Python's Unicode tables go through the tokenizers library itself.
 
 The lexicon only saves time: the ids do not depend on it.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm.arrow import as_binary, byte_offsets, gather, pieces
-from storyloom.llm.bytebpe import ByteBPE, byte_letters, simple_texts, spaced_word_spans
+from storyloom.llm.bytebpe import ByteBPE, byte_letters, known_texts, parts, spaced_word_spans, special_tokens, with_specials
 from storyloom.llm.common import documents, most_frequent, shared_dir, text_of, written
 from storyloom.llm.lexicon import Lexicon, compile_lexicon
 from storyloom.llm.spans import WordTable
@@ -70,7 +70,7 @@ class TextEncoder:
     """A Python worker's encoder; it outlives a task."""
 
     def __init__(self, path: str, lexicon: str) -> None:
-        self.path, self.bpe, self.lexicon = path, ByteBPE(path), Lexicon(lexicon)
+        self.path, self.bpe, self.lexicon, self.specials = path, ByteBPE(path), Lexicon(lexicon), special_tokens(path)
         self.table = WordTable(self._words)
 
     @staticmethod
@@ -99,16 +99,21 @@ class TextEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids."""
+        inner, of, after = parts(column, self.specials)
+        count, ids = self._parts(inner)
+        return with_specials(count, ids, of, after, len(column))
+
+    def _parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets, data = byte_offsets(column)
-        simple = simple_texts(offsets, data)
-        if simple.all():
+        known = known_texts(offsets, data)
+        if known.all():
             return self._simple(offsets, data)
         out, at = [], 0
-        while at < len(simple):  # runs of texts of either kind
+        while at < len(known):  # runs of texts of either kind
             to = at + 1
-            while to < len(simple) and simple[to] == simple[at]:
+            while to < len(known) and known[to] == known[at]:
                 to += 1
-            if simple[at]:
+            if known[at]:
                 out.append(self._simple(offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]]))
             else:
                 ids = [e.ids for e in self.tokenizer.encode_batch([t or "" for t in column.slice(at, to - at).to_pylist()], add_special_tokens=False)]

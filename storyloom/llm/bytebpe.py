@@ -1,52 +1,81 @@
 """Byte-pair encoding of many words at once, in numpy, and the cutting of texts into words as two public tokenizers do it.
 
-Only texts whose characters are all below U+0100 and that hold no ``<|`` take
-this path; the tokenizers library encodes the others.
+The classes of all characters come from Python's Unicode tables. Texts with a character that these don't
+know (the library's are newer) are left to the library, as only it can tell what such a character is.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cache, cached_property
 
 import numpy as np
+import pyarrow as pa
 
-SPACE, LETTER, NUMBER, OTHER = range(4)
+from storyloom.llm.arrow import byte_offsets
 
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
+#: White space.
+_SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
-def _classes() -> np.ndarray:
-    out = np.full(256, OTHER, np.uint8)
-    for c in range(256):
-        kind = unicodedata.category(chr(c))[0]
-        out[c] = LETTER if kind == "L" else NUMBER if kind == "N" else SPACE if c in (0x20, 0x85, 0xA0) or 0x09 <= c <= 0x0D else OTHER
-    return out
+
+def _class(c: int) -> int:
+    kind = unicodedata.category(chr(c))
+    return SPACE if c in _SPACES else LETTER if kind[0] == "L" else NUMBER if kind[0] == "N" else UNKNOWN if kind == "Cn" else OTHER
 
 
-_CLASS = _classes()
+_CLASS = np.array([_class(c) for c in range(256)], np.uint8)
 _ONE = np.zeros(256, bool)
 _ONE[list(b"stmd")] = True
 
 
+@cache
+def _all_classes() -> np.ndarray:
+    """The class of every code point; made where a text needs it."""
+    out = np.fromiter((_class(c) for c in range(0x110000)), np.uint8, 0x110000)
+    out[:256] = _CLASS
+    return out
+
+
 def byte_classes(data: np.ndarray) -> np.ndarray:
     """The class of the character that each byte is part of."""
     out = _CLASS[data]
-    if len(lead := np.flatnonzero(data >= 0xC0)):
-        c = _CLASS[(data[lead] & 3) << 6 | data[lead + 1] & 63]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return out
+    first = data[lead]
+    if first.max() < 0xC4:
+        c = _CLASS[(first & 3) << 6 | data[lead + 1] & 63]
         out[lead] = out[lead + 1] = c
+        return out
+    extra = 1 + (first >= 0xE0) + (first >= 0xF0)
+    code = (first & np.array([0, 0x1F, 0x0F, 0x07], np.uint8)[extra]).astype(np.int64)
+    for k in range(1, 4):
+        more = extra >= k
+        code[more] = code[more] << 6 | data[lead[more] + k] & 63
+    c = _all_classes()[code]
+    out[lead] = c
+    for k in range(1, 4):
+        out[lead[extra >= k] + k] = c[extra >= k]
     return out
 
 
-def simple_texts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Which texts this module may cut."""
-    odd = data >= 0xC4
-    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
-    at = np.flatnonzero(odd)
+def known_texts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which texts hold no character that Python's Unicode tables don't know."""
     out = np.ones(len(offsets) - 1, bool)
-    if len(at):
+    if len(data) and data.max() >= 0xC4:
+        at = np.flatnonzero(byte_classes(data) == UNKNOWN)
         out[np.searchsorted(offsets, at, side="right") - 1] = False
     return out
 
 
+def plain(column: pa.Array) -> bool:
+    """Whether all characters are below U+0100."""
+    data = byte_offsets(column)[1]
+    return not len(data) or data.max() < 0xC4
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """Lower case, for characters below U+0100."""
     out = data.copy()
@@ -57,6 +86,45 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def composed_lower(text: str) -> str:
+    """Canonical composition and lower case, a character at a time: a sigma is the same wherever it stands."""
+    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+
+def parts(column: pa.Array, specials: dict[str, int]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The stretches of texts between special tokens, the text of each, and the id of the token after it (-1: none)."""
+    data = byte_offsets(column)[1]
+    of, after = np.arange(len(column)), np.full(len(column), -1, np.int64)
+    if not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():
+        return column, of, after
+    texts, of, after = [], [], []
+    for i, t in enumerate(column.to_pylist()):
+        at = 0
+        t = t or ""
+        while (found := min(((k, s) for s in specials if (k := t.find(s, at)) >= 0), default=None)) is not None:
+            texts.append(t[at : found[0]])
+            of.append(i)
+            after.append(specials[found[1]])
+            at = found[0] + len(found[1])
+        texts.append(t[at:])
+        of.append(i)
+        after.append(-1)
+    return pa.array(texts, pa.string()), np.array(of, np.int64), np.array(after, np.int64)
+
+
+def with_specials(count: np.ndarray, ids: np.ndarray, of: np.ndarray, after: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each of n texts from those of its parts, with the special tokens between them."""
+    special = after >= 0
+    if special.any():
+        ids = np.insert(ids, np.cumsum(count)[special], after[special].astype(np.uint32))
+    return np.bincount(of, weights=count + special, minlength=n).astype(np.int64), ids
+
+
+def special_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def _contract(start: np.ndarray, cls: np.ndarray, data: np.ndarray, edge: np.ndarray) -> None:
     """'s 't 'm 'd 're 've 'll are words where a lone apostrophe begins one."""
     n = len(data)
@@ -109,8 +177,10 @@ def spaced_word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray
     start[1:n] |= cls[1:] != cls[:-1]
     # white space before a word gives its last character to the word, if a plain space, and else to itself
     b = np.flatnonzero((cls[1:] != SPACE) & (cls[:-1] == SPACE) & ~edge[1:n]) + 1 if n else np.empty(0, np.int64)
-    wide = data[b - 1] >= 0x80
-    start[b - 1 - wide] = True
+    lead = b - 1
+    for _ in range(2):
+        lead = lead - ((data[lead] & 0xC0) == 0x80)
+    start[lead] = True
     start[b[data[b - 1] == 0x20]] = False
     start[n] = False
     _contract(start, cls, data, edge)
@@ -284,5 +354,10 @@ class ByteBPE:
             offer(i)
         return np.array([s for s, x in zip(sym, alive, strict=True) if x], np.uint32)
 
+    @cached_property
+    def _slots_by_pair(self) -> dict[int, int]:
+        at = np.flatnonzero(self.pairs.keys)
+        return dict(zip((self.pairs.keys[at] - np.uint64(1)).tolist(), at.tolist(), strict=True))
+
     def _one(self, a: int, b: int) -> int:
-        return int(self.pairs.find(np.array([a], np.uint32), np.array([b], np.uint32))[0])
+        return self._slots_by_pair.get(a << 32 | b, -1)

@@ -27,6 +27,7 @@ import os
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm.arrow import as_binary, byte_offsets, pieces
-from storyloom.llm.bytebpe import ByteBPE, lower_word_spans, lowered, simple_texts
+from storyloom.llm.bytebpe import ByteBPE, composed_lower, known_texts, lower_word_spans, lowered, parts, plain, special_tokens
 from storyloom.llm.common import SPACE_CLASS, documents
 from storyloom.llm.spans import WordTable
 
@@ -49,39 +50,51 @@ _encoders: dict[str, TextEncoder] = {}
 class TextEncoder:
     """Ids of whole texts, for a byte-level vocabulary that drops white space and lower-cases; right as its library is.
 
-    Words are looked up in a table that outlives a task; texts with characters from U+0100 on go through the library word by word.
+    Words are looked up in a table that outlives a task; texts with a character newer than Python's Unicode tables go through the library word by word.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.specials = path, special_tokens(path)
         self.table = WordTable(ByteBPE(path).encode)
 
     @staticmethod
     def of(path: str) -> TextEncoder:
         return _encoders.get(path) or _encoders.setdefault(path, TextEncoder(path))
 
+    @cached_property
+    def tokenizer(self):
+        """The library, loaded where a text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of each text, all ids, and for each id whether a sentence ends after it."""
-        offsets, data = byte_offsets(column)
-        simple = simple_texts(offsets, data)
-        if simple.all():
-            return self._simple(offsets, data)
+        inner, of, after = parts(column, self.specials)
+        count, ids, stop = self._parts(inner)
+        if (special := after >= 0).any():
+            at = np.cumsum(count)[special]
+            ids, stop = np.insert(ids, at, after[special].astype(np.uint32)), np.insert(stop, at, False)
+        return np.bincount(of, weights=count + special, minlength=len(column)).astype(np.int64), ids, stop
+
+    def _parts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if plain(column):
+            offsets, data = byte_offsets(column)
+            return self._simple(offsets, lowered(data))
+        known = known_texts(*byte_offsets(column))
         out = []
         at = 0
-        while at < len(simple):  # runs of texts of either kind
+        while at < len(known):  # runs of texts of either kind
             to = at + 1
-            while to < len(simple) and simple[to] == simple[at]:
+            while to < len(known) and known[to] == known[at]:
                 to += 1
-            part = data[offsets[at] : offsets[to]]
-            out.append(self._simple(offsets[at : to + 1] - offsets[at], part) if simple[at] else self._any(column.slice(at, to - at)))
+            some = column.slice(at, to - at).to_pylist()
+            out.append(self._simple(*byte_offsets(pa.array([composed_lower(t or "") for t in some], pa.large_string()))) if known[at] else self._any(some))
             at = to
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _simple(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data = lowered(data)
         starts, ends, first = lower_word_spans(offsets, data)
         if not len(starts):
             return np.zeros(len(offsets) - 1, np.int64), np.empty(0, np.uint32), np.empty(0, bool)
@@ -92,9 +105,9 @@ class TextEncoder:
         stop[total[1:][_FINAL[data[ends - 1]] & np.append(starts[1:] != ends[:-1], True)] - 1] = True
         return np.diff(total[first]), ids, stop
 
-    def _any(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _any(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths, ids, stop = [], [], []
-        for t in column.to_pylist():
+        for t in texts:
             words = WORDS.findall(t or "")
             n = 0
             for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
