@@ -3,7 +3,9 @@
 Each text is a worklist of layers. The text itself is the first; a layer gives rise
 to one more for each kind of encoding found in it, in which every such stretch is
 replaced by what it encodes: URL escapes, Unicode escapes, base64, and base64 of
-compressed data (gzip, zlib, bzip2, xz, also nested), on one line or wrapped. Any that
+compressed data (gzip, zlib, bzip2, xz, also nested), on one line or wrapped. A run of base64's characters
+that is no text as a whole, such as a path or a name with base64 in it, is tried at each of the four ways to align it, and what
+reads as text there is taken; compressed data may begin anywhere in a run. Any that
 is UTF-8 is a layer, whatever its characters. A layer that was seen before
 is not entered again, so that cycles end; the work stops at the fixpoint. Every
 layer is scanned, and what is found in it is mapped back, piece by piece, to code
@@ -50,6 +52,15 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\[uUx]([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over several lines, all but the first and the last of them whole.
+_FOLDED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_PLAIN = str.maketrans("-_", "+/")
+#: Bytes that read as text, and how many of them are taken for a message.
+_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+LEAST_TEXT = 9
+#: How compressed data begins, in base64, and how much of it tells whether it is.
+_MAGIC = re.compile(r"H4sI|Qlpo|[/_]Td6WFo|[CGKOSWae][A-P]")
+_HEAD = 64
 #: The first line of base64 over several, which begins as compressed data does; and a line.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:H4sI|Qlpo|[/_]Td6WFo|[CGKOSWae][A-P])[A-Za-z0-9+/_-]*[ \t]*\r?\n(?=[ \t]*[A-Za-z0-9+/_-])")
 _WRAPPED_LINE = re.compile(r"[ \t]*([A-Za-z0-9+/_-]+={0,2})(?:[ \t]*\r?\n)?")
@@ -104,20 +115,58 @@ def _unicode(m: re.Match, _: list) -> tuple[str, Map] | None:
     return "".join(text), out
 
 
-def _bytes_of(m: re.Match) -> bytes | None:
-    body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _raw(body: str) -> bytes:
+    """The bytes of characters of base64; one that is left over goes."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return binascii.a2b_base64(body + "=" * (-len(body) % 4))
+
+
+def _messages(run: str) -> list[tuple[int, int, bytes]]:
+    """Stretches of a run that read as text at one of its four alignments, the longest of those that overlap: start, end, bytes."""
+    found = []
+    for a in range(4):
+        raw = _raw(run[a:])
+        found += [(m.end() - m.start(), a + m.start() // 3 * 4, a + -(-m.end() // 3) * 4, m.start() % 3, m[0]) for m in _TEXT.finditer(raw) if m.end() - m.start() >= LEAST_TEXT]
+    out: list[tuple[int, int, int, bytes]] = []
+    for _, s, e, skip, text in sorted(found, key=lambda x: -x[0]):
+        if all(e <= x[0] or s >= x[1] for x in out):
+            out.append((s, min(e, len(run)), skip, text))
+    return sorted(out)
 
 
 def _base64(m: re.Match, _: list) -> tuple[str, Map] | None:
-    raw = _bytes_of(m)
-    got = raw and _characters(raw, m.start(), lambda b: (b // 3 * 4, min(b // 3 * 4 + 4, m.end() - m.start())))
-    return got or None
+    """What a run holds as a whole, if that is text, or else its messages with what lies between them as it stands."""
+    at = [i for i, c in enumerate(m[0]) if c not in " \t\r\n="]  # where the run's characters are in the match
+    run = "".join(m[0][i] for i in at).translate(_PLAIN) if len(at) < len(m[0]) else m[0].translate(_PLAIN)
+    if len(run) < 12:
+        return None
+    place = lambda i: m.start() + at[i]
+    after = lambda i: m.start() + at[i - 1] + 1 if i < len(at) else m.end()
+    found = _messages(run)
+    raw = _raw(run) if len(run) % 4 != 1 else b""
+    whole = raw and (len(found) != 1 or 2 * len(found[0][3]) < len(raw) or found[0][0] == 0) and _characters(raw, 0, lambda b: (place(b // 3 * 4), after(min(b // 3 * 4 + 4, len(run)))))
+    if whole and 2 * sum(len(x[3]) for x in found) <= 2 * len(raw):
+        return whole
+    text, out, end = [], [], 0
+    for s, e, skip, body in found:
+        got = _characters(body, 0, lambda b, s=s, skip=skip: (place(s + (b + skip) // 3 * 4), after(min(s + (b + skip) // 3 * 4 + 4, len(run)))))
+        if got is None:
+            continue
+        if s > end:
+            begin = place(end) if end else m.start()
+            out.append((len("".join(text)), len("".join(text)) + place(s) - begin, begin, place(s), True))
+            text.append(m.string[begin : place(s)])
+        n = sum(map(len, text))
+        out += [(n + x, n + y, p, q, same) for x, y, p, q, same in got[1]]
+        text.append(got[0])
+        end = e
+    if not end:
+        return None
+    if after(end) < m.end() and end < len(run):
+        n = sum(map(len, text))
+        out.append((n, n + m.end() - after(end), after(end), m.end(), True))
+        text.append(m.string[after(end) : m.end()])
+    return "".join(text), out
 
 
 def _makers(raw: bytes) -> list[Callable]:
@@ -165,9 +214,27 @@ def _innermost(raw: bytes | None, refused: list) -> str | None:
         return None
 
 
+def _begins(raw: bytes) -> bool:
+    """Whether the first bytes pass for the beginning of compressed data."""
+    for make in _makers(raw):
+        try:
+            make().decompress(raw, MOST_BYTES)
+        except _NO_DATA:
+            continue
+        return True
+    return False
+
+
 def _compressed(m: re.Match, refused: list) -> tuple[str, Map] | None:
-    text = _innermost(_bytes_of(m), refused)
-    return (text, [(0, len(text), m.start(), m.end(), False)]) if text else None
+    """Compressed data from anywhere in a run to its end; what stands before stays."""
+    run = m[0].rstrip("=").translate(_PLAIN)
+    at = 0
+    while (found := _MAGIC.search(run, at)) is not None:
+        s, at = found.start(), found.start() + 1
+        if _begins(_raw(run[s : s + _HEAD])) and (text := _innermost(_raw(run[s:]), refused)):
+            first = [(0, s, m.start(), m.start() + s, True)] if s else []
+            return m[0][:s] + text, [*first, (s, s + len(text), m.start() + s, m.end(), False)]
+    return None
 
 
 def _wrapped(m: re.Match, refused: list) -> tuple[str, Map] | None:
@@ -200,7 +267,7 @@ def _wrapped(m: re.Match, refused: list) -> tuple[str, Map] | None:
     return (text, [(0, len(text), m.start(), end, False)]) if text else None
 
 
-_DECODERS = ((_URL, _url), (_UNICODE, _unicode), (_BASE64, _base64), (_BASE64, _compressed), (_WRAPPED, _wrapped))
+_DECODERS = ((_URL, _url), (_UNICODE, _unicode), (_BASE64, _base64), (_FOLDED, _base64), (_BASE64, _compressed), (_WRAPPED, _wrapped))
 
 
 def _unwrapped(text: str, pattern: re.Pattern, decode: Callable, refused: list) -> tuple[str, Map] | None:
