@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from storyloom.operators.tables import Scratch, written
 from storyloom.schemas import TRAITS
 
-
-def stored(df: DataFrame, name: str = "round") -> DataFrame:
-    """A round's rows as a table in the shared checkpoint folder: no lineage grows, and a lost executor loses nothing."""
-    import tempfile
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/storyloom-checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Edges and nodes up to which the largest component is sent to the tasks whole, and the bits that a task holds for each of its steps.
+MOST_LINKS, MOST_NODES, TASK_BITS = 1 << 23, 1 << 21, 1 << 28
 
 
 def trait_columns(profiles: DataFrame, order: str = "ord") -> DataFrame:
@@ -70,42 +66,100 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 def components(edge: DataFrame) -> DataFrame:
     """(id, component): the least id of each weakly connected component; rounds grow with the logarithm of the longest path, as labels also jump along labels."""
-    links = stored(both_ways(simple(edge)), "links")
-    label = stored(edge.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
+    scratch = Scratch(edge.sparkSession)
+    links = scratch.written(both_ways(simple(edge)), "links")
+    label = scratch.written(edge.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
     while True:
         seen = links.join(label, links["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("m"))
         step = label.join(seen, label["id"] == seen["a"], "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("m"))
         jump = step.join(label.select(F.col("id").alias("m"), F.col("component").alias("j")), "m", "left")
-        new = stored(jump.select("id", F.col("component").alias("was"), F.least("m", F.coalesce("j", "m")).alias("component")), "labels")
+        new = scratch.written(jump.select("id", F.col("component").alias("was"), F.least("m", F.coalesce("j", "m")).alias("component")), "labels")
         label = new.select("id", "component")
         if new.filter("was <> component").isEmpty():
-            return label
+            return scratch.last(label, "components")
 
 
 def component_sizes(edge: DataFrame) -> DataFrame:
     return components(edge).groupBy("component").agg(F.count("*").alias("size"))
 
 
-def distances(edge: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, dist) of all pairs within the largest component, by a frontier join for each step; ``sources`` limits where paths begin."""
+def largest_component(edge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id) of the largest component, of equals that of the least name, and its (a, b) both ways."""
     label = components(edge)
     largest = label.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
-    inside = stored(label.join(largest, "component", "left_semi").select("id"), "inside")
-    links = stored(both_ways(simple(edge)).join(inside, F.col("a") == F.col("id"), "left_semi"), "links")
+    inside = written(label.join(largest, "component", "left_semi").select("id"), "inside")
+    return inside, written(both_ways(simple(edge)).join(inside, F.col("a") == F.col("id"), "left_semi"), "links")
+
+
+def distances(edge: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, dist) of all pairs within the largest component, by a frontier join for each step; ``sources`` limits where paths begin."""
+    inside, links = largest_component(edge)
+    return _distances(inside, links, sources)
+
+
+def _distances(inside: DataFrame, links: DataFrame, sources: DataFrame | None) -> DataFrame:
     start = inside if sources is None else inside.join(sources.select("id"), "id", "left_semi")
     frontier = start.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("dist"))
-    found = frontier = stored(frontier, "paths")
+    found = frontier = written(frontier, "paths")
     step = 0
     while not frontier.isEmpty():
         step += 1
         new = frontier.select("src", F.col("dst").alias("a")).join(links, "a").select("src", F.col("b").alias("dst")).distinct()
-        frontier = stored(new.join(found, ["src", "dst"], "left_anti").withColumn("dist", F.lit(step)), "paths")
+        frontier = written(new.join(found, ["src", "dst"], "left_anti").withColumn("dist", F.lit(step)), "paths")
         found = found.unionByName(frontier)
     return found.filter("dist > 0")
 
 
 def path_measures(edge: DataFrame) -> DataFrame:
-    return distances(edge).agg(F.avg("dist").alias("avg_path_length"), F.max("dist").cast("long").alias("diameter"))
+    """One row: average and largest distance within the largest component.
+
+    Where that component has no more than MOST_LINKS links and MOST_NODES nodes, these are counted first, its links go to all tasks, and each
+    task walks from many sources at once: a bit for each source and node, one step an OR along all links.
+    Beyond, distances are found by joins.
+    """
+    inside, links = largest_component(edge)
+    nodes, m = inside.count(), links.count()
+    if m <= MOST_LINKS and nodes <= MOST_NODES:
+        return _walked(inside, links, nodes)
+    return _distances(inside, links, None).agg(F.avg("dist").alias("avg_path_length"), F.max("dist").cast("long").alias("diameter"))
+
+
+def _walked(inside: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
+    spark = inside.sparkSession
+    ids = inside.toArrow()["id"].combine_chunks()
+    ends = links.toArrow()
+    place = lambda c: pa.compute.index_in(ends[c].combine_chunks(), value_set=ids).to_numpy(zero_copy_only=False).astype(np.int32)
+    a, b = place("a"), place("b")
+    order = np.argsort(a, kind="stable")
+    shared = spark.sparkContext.broadcast((a[order], b[order]))
+    words = int(max(1, min(-(-nodes // 64), TASK_BITS // 64 // max(1, nodes))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = shared.value
+        has, first = np.unique(a, return_index=True)
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                lo, hi = block * 64 * words, min(nodes, (block + 1) * 64 * words)
+                seen = np.zeros((nodes, words), np.uint64)
+                k = np.arange(hi - lo)
+                np.bitwise_or.at(seen, (lo + k, k >> 6), np.uint64(1) << (k & 63).astype(np.uint64))
+                far, total, pairs, most = seen.copy(), 0, 0, 0
+                step = 0
+                while far.any():
+                    step += 1
+                    new = np.zeros_like(seen)
+                    for w in range(words):  # a column at a time keeps what is gathered small
+                        new[has, w] = np.bitwise_or.reduceat(far[b, w], first) if len(first) else 0
+                    far = new & ~seen
+                    seen |= far
+                    n = int(np.bitwise_count(far).sum())
+                    total, pairs, most = total + n * step, pairs + n, step if n else most
+                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([pairs]), pa.array([most])], ["total", "pairs", "most"])
+
+    blocks = -(-nodes // (64 * words))
+    part = spark.range(0, blocks, 1, max(1, min(blocks, 4096))).mapInArrow(run, "total long, pairs long, most long")
+    found = F.sum("pairs") > 0
+    return part.agg(F.when(found, F.sum("total") / F.sum("pairs")).alias("avg_path_length"), F.when(found, F.max("most")).alias("diameter"))
 
 
 def clustering(edge: DataFrame) -> DataFrame:

@@ -30,16 +30,25 @@ def passages(book: DataFrame, **sizes) -> DataFrame:
 
 
 def manifests(book: DataFrame, parts: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a book."""
-    n = parts.groupBy("book_id").agg(F.count("*").alias("num_chunks"), F.when(F.min_by("chapter", "chunk_index").isNotNull(), "chapter").otherwise("length").alias("split_method"))
+    """One row a book; ``year`` and ``notes`` are the book's, if it has them."""
+    n = parts.groupBy("book_id").agg(F.count("*").alias("num_chunks"), F.when(F.min_by("chapter", "chunk_index").isNotNull(), "chapters").otherwise("length").alias("split_method"))
     f = files.select(F.col("path").alias("source_path"), F.col("sha256").alias("pdf_sha256"))
-    return book.join(n, "book_id", "left").join(f, "source_path", "left").select("book_id", "title", "authors", "source_path", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ingested_at"), "extraction_mode", F.coalesce("split_method", F.lit("length")).alias("split_method"), F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"), "pdf_sha256", F.sha2("text", 256).alias("cleaned_text_sha256"), F.length("text").alias("cleaned_text_length"))
+    own = lambda c, kind: F.col(c) if c in book.columns else F.lit(None).cast(kind).alias(c)
+    return book.join(n, "book_id", "left").join(f, "source_path", "left").select(
+        "book_id", "title", "authors", own("year", "int"), "source_path", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ingested_at"), "extraction_mode",
+        F.coalesce("split_method", F.lit("length")).alias("split_method"), F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"), "pdf_sha256", F.sha2("text", 256).alias("cleaned_text_sha256"), F.length("text").alias("cleaned_text_length"), F.coalesce(own("notes", "string"), F.lit("")).alias("notes"),
+    )
 
 
-def to_process(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files without a manifest, or whose content has changed since."""
+def to_process(files: DataFrame, manifest: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
+    """Files without a manifest, whose content has changed since, or, given the ``outputs`` that exist (path, n), fewer than two of which are there: text and passages."""
     m = manifest.select(F.col("source_path").alias("path"), F.col("pdf_sha256").alias("_old"))
-    return files.join(m, "path", "left").filter(F.col("_old").isNull() | (F.col("_old") != F.col("sha256"))).drop("_old")
+    x = files.join(m, "path", "left")
+    stale = F.col("_old").isNull() | (F.col("_old") != F.col("sha256"))
+    if outputs is not None:
+        x = x.join(outputs.groupBy("path").agg(F.sum("n").alias("_outputs")), "path", "left")
+        stale = stale | (F.coalesce("_outputs", F.lit(0)) < 2)
+    return x.filter(stale).drop("_old", "_outputs")
 
 
 def status_counts(results: DataFrame) -> DataFrame:

@@ -78,20 +78,36 @@ def as_rows(section: str, one_row: DataFrame) -> DataFrame:
     return one_row.select(F.lit(section).alias("section"), F.inline(pairs))
 
 
-def evaluated(triples: DataFrame | None, profiles: DataFrame | None, edge: DataFrame | None) -> DataFrame | None:
-    """(section, metric, value) of what there is; None if there is nothing."""
+def graph_quality(edge: DataFrame) -> list[DataFrame]:
+    """One-row DataFrames: components, clustering over all nodes, assortativity, and paths in the largest component."""
+    from storyloom.operators import graph
+
+    return [
+        graph.component_sizes(edge).agg(F.count("*").alias("n_components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component")),
+        graph.clustering(edge).agg(F.avg("clustering").alias("avg_clustering")),
+        graph.assortativity(edge),
+        graph.path_measures(edge),
+    ]
+
+
+def evaluated(triples: DataFrame | None, profiles: DataFrame | None, edge: DataFrame | None, node: DataFrame | None = None, top: int = 10) -> DataFrame | None:
+    """(section, metric, value) of what there is; None if there is nothing. Lists, of relations, traits and most connected nodes (with
+    ``node``), have a row for each of their members."""
     from storyloom.operators import graph
 
     parts = []
+    listed = lambda section, df, name, value: df.select(F.lit(section).alias("section"), F.col(name).alias("metric"), F.col(value).cast("double").alias("value"))
     if triples is not None:
-        parts += [("triples", triple_stats(triples)), ("evidence", evidence_quality(triples)), ("confidence", confidence_distribution(triples)), ("relations", relation_diversity(triples))]
+        one_row = [("triples", triple_stats(triples)), ("evidence", evidence_quality(triples)), ("confidence", confidence_distribution(triples)), ("relations", relation_diversity(triples))]
+        parts += [as_rows(*x) for x in one_row] + [listed("top_relations", top_relations(triples, top), "relation", "n")]
     if profiles is not None:
-        parts += [("personality", personality_quality(profiles))]
+        parts += [as_rows("personality", personality_quality(profiles)), listed("personality_stats", personality_stats(profiles), "trait_name", "avg_score")]
     if edge is not None:
-        parts += [("graph", graph.totals(edge))]
+        parts += [as_rows("graph", graph.totals(edge)), *(as_rows("graph_quality", x) for x in graph_quality(edge))]
+        if node is not None:
+            parts += [listed("most_connected", graph.top_nodes(edge, node, top), "id", "degree")]
     out = None
-    for name, df in parts:
-        rows = as_rows(name, df)
+    for rows in parts:
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import mentions, passage_header
+from storyloom.operators.tables import ranked
 
-#: Names up to this many are searched in one pass of an automaton; beyond, in several.
+#: Names up to this many are searched in one pass of an automaton, which tasks hold in memory.
 NAMES_AT_ONCE = 100_000
 
 
@@ -19,35 +20,44 @@ def mentioning(passages: DataFrame, names: DataFrame, key: str = "passage_id", t
     """(key, name): passages whose text holds a name, in any case.
 
     Names are searched all at once by an Aho-Corasick automaton in Arrow batches: a
-    passage is read once, not once for each name. Names come to the tasks in blocks of a fixed size.
+    passage is read once, not once for each name. Up to NAMES_AT_ONCE names, which are counted first, go to the tasks;
+    where there are more, ``mentioning_by_words`` takes over.
     """
+    names = names.select(F.col(names.columns[0]).alias("name")).filter("name <> ''").distinct()
+    some = names.limit(NAMES_AT_ONCE + 1).toArrow()["name"].to_pylist()
+    if len(some) > NAMES_AT_ONCE:
+        return mentioning_by_words(passages, names, key, text)
     import ahocorasick
 
-    names = names.select(F.col(names.columns[0]).alias("name")).filter("name <> ''").distinct()
-    total = names.count()
-    out = None
-    blocks = max(1, -(-total // NAMES_AT_ONCE))
-    sc, kind = passages.sparkSession.sparkContext, passages.schema[key].dataType.simpleString()
-    for i in range(blocks):
-        block = sc.broadcast([r[0] for r in names.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i).collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            found = ahocorasick.Automaton()
-            for n in block.value:
-                found.add_word(n.lower(), [*found.get(n.lower(), []), n])
-            found.make_automaton()
-            for b in batches:
-                keys, hits = [], []
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if t and len(found):
-                        got = {n for _, ns in found.iter(t.lower()) for n in ns}
-                        keys += [k] * len(got)
-                        hits += sorted(got)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0]), pa.array(hits, pa.string())], ["key", "name"])
-
-        part = passages.select(key, text).mapInArrow(run, f"key {kind}, name string").withColumnRenamed("key", key)
-        out = part if out is None else out.unionByName(part)
-    return out
+    block = passages.sparkSession.sparkContext.broadcast(some)
+    kind = passages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for n in block.value:
+            found.add_word(n.lower(), [*found.get(n.lower(), []), n])
+        found.make_automaton()
+        for b in batches:
+            keys, hits = [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t and len(found):
+                    got = {n for _, ns in found.iter(t.lower()) for n in ns}
+                    keys += [k] * len(got)
+                    hits += sorted(got)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0]), pa.array(hits, pa.string())], ["key", "name"])
+
+    return passages.select(key, text).mapInArrow(run, f"key {kind}, name string").withColumnRenamed("key", key)
+
+
+def mentioning_by_words(passages: DataFrame, names: DataFrame, key: str = "passage_id", text: str = "text") -> DataFrame:
+    """The same for any number of names, as joins: a passage and a name meet where a stretch of the text has the hash of the name's
+    first characters; the names found so are then looked for whole. Names are dealt by how many characters begin them: 1, 2, 4 or 8."""
+    n = names.select(F.col(names.columns[0]).alias("name")).filter("name <> ''").distinct().withColumn("_low", F.lower("name"))
+    n = n.withColumn("_size", F.when(F.length("_low") >= 8, 8).when(F.length("_low") >= 4, 4).when(F.length("_low") >= 2, 2).otherwise(1)).withColumn("_start", F.substring("_low", F.lit(1), F.col("_size")))
+    p = passages.select(F.col(key).alias("_key"), F.lower(text).alias("_text")).filter("_text <> ''")
+    starts = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 4, 8))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - k + 1, F.lit(1))), lambda i: F.substring("_text", i, k))))
+    found = p.select("_key", F.explode(F.array_distinct(starts)).alias("_start")).join(n, "_start").select("_key", "name", "_low").distinct()
+    return found.join(p, "_key").filter(F.contains("_text", "_low")).select(F.col("_key").alias(key), "name").distinct()
 
 
 def mentioning_by_join(passages: DataFrame, names: DataFrame, key: str = "passage_id", text: str = "text") -> DataFrame:
@@ -57,11 +67,12 @@ def mentioning_by_join(passages: DataFrame, names: DataFrame, key: str = "passag
 
 
 def evenly_sampled(hits: DataFrame, most: int = 50, by: str = "name") -> DataFrame:
-    """At most ``most`` passages for each name, at even steps in order of chunk."""
-    w = W.partitionBy(by)
-    x = hits.withColumn("_i", F.row_number().over(w.orderBy(F.coalesce("chunk_index", F.lit(0)), "passage_id")) - 1).withColumn("_n", F.count("*").over(w))
+    """At most ``most`` passages for each name, at even steps in order of chunk. Ids are ranked, texts join what is left of them."""
+    ids = hits.select(by, F.coalesce("chunk_index", F.lit(0)).alias("_chunk"), "passage_id")
+    x = ranked(ids, by, ["_chunk", "passage_id"], "rank", "_n")
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / most)).cast("long")
-    return x.filter((F.col("_n") <= most) | ((F.col("_i") % step == 0) & (F.col("_i") < step * most))).withColumn("rank", F.col("_i").cast("long")).drop("_i", "_n")
+    kept = x.filter((F.col("_n") <= most) | ((F.col("rank") % step == 0) & (F.col("rank") < step * most))).select(by, "passage_id", "rank")
+    return hits.join(kept, [by, "passage_id"])
 
 
 def within_budget(sampled: DataFrame, most_chars: int = 12000, by: str = "name") -> DataFrame:

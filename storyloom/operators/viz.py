@@ -72,10 +72,10 @@ nodes.forEach(n=>add("circle",{{cx:at[n.id][0],cy:at[n.id][1],r:n.size/6,fill:n.
 
 
 def save_html(node: DataFrame, edge: DataFrame, path: str, title: str = "graph", most: int = 20_000) -> None:
-    """A page that a browser can show: the ``most`` largest nodes and the edges between them."""
+    """A page that a browser can show: the ``most`` largest nodes and of the edges between them the 10 * ``most`` of the highest confidence."""
     ns = viz_nodes(node, edge).orderBy(F.desc("size"), "id").limit(most)
     keep = ns.select("id")
-    es = viz_edges(edge).join(keep, F.col("src") == F.col("id"), "left_semi").join(keep, F.col("dst") == F.col("id"), "left_semi").limit(10 * most)
+    es = viz_edges(edge).join(keep, F.col("src") == F.col("id"), "left_semi").join(keep, F.col("dst") == F.col("id"), "left_semi").orderBy(F.desc("width"), "src", "dst", "key").limit(10 * most)
     rows = lambda df: json.dumps([r.asDict() for r in df.collect()], ensure_ascii=False).replace("</", "<\\/")
     with open(path, "w", encoding="utf-8") as f:
         f.write(_PAGE.format(title=title.replace("<", ""), nodes=rows(ns), edges=rows(es)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from storyloom.operators.tables import ranked
 from storyloom.schemas import RELATIONS, TRAITS
 
 EVENT_TRAITS = {"click": "openness", "view": "conscientiousness", "signup": "extraversion", "purchase": "agreeableness", "error": "neuroticism"}
@@ -23,9 +24,9 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("l_linenumber") * 10).cast("long")
     return x.select(
         (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 65536 + F.col("l_partkey")) * 2048 + F.col("l_suppkey")).alias("ord"),
-        F.concat(F.lit("E"), (F.col("o_custkey") % 200).cast("string")).alias("subject"),
+        F.concat(F.lit("E"), F.col("o_custkey").cast("string")).alias("subject"),
         relation.alias("relation"),
-        F.concat(F.lit("E"), (F.col("l_partkey") % 200).cast("string")).alias("object"),
+        F.concat(F.lit("E"), F.col("l_partkey").cast("string")).alias("object"),
         ((100 - 5 * F.round(F.col("l_discount") * 100).cast("int")).cast("double") / F.lit(100.0)).alias("confidence"),
         F.struct(F.col("p_name").alias("text"), start.alias("start"), (start + F.floor("l_quantity").cast("long") - 5).alias("end")).alias("evidence_span"),
         F.col("o_orderpriority").alias("book_id"),
@@ -33,10 +34,10 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def aliases(spark: SparkSession) -> DataFrame:
-    """Odd entities stand for the one before; one more row makes a chain."""
-    k = F.col("id")
-    m = spark.range(1, 200, 2).select(F.concat(F.lit("E"), k.cast("string")).alias("alias"), F.concat(F.lit("E"), (k - 1).cast("string")).alias("canonical"), ((k % 10).cast("double") / 10.0).alias("confidence"))
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of odd keys stand for the one before; one more row makes a chain."""
+    k = F.col("c_custkey")
+    m = table(spark, sf_dir, "customer").filter(k % 2 == 1).select(F.concat(F.lit("E"), k.cast("string")).alias("alias"), F.concat(F.lit("E"), (k - 1).cast("string")).alias("canonical"), ((k % 10).cast("double") / 10.0).alias("confidence"))
     return m.union(spark.range(1).select(F.lit("E6"), F.lit("E4"), F.lit(0.9)))
 
 
@@ -59,20 +60,16 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One a document: its source is the book. Ids are ranked, texts join them."""
     d = table(spark, sf_dir, "documents")
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    return d.select("doc_id", F.col("source").alias("book_id"), n.alias("chunk_index"), "text").withColumn("passage_id", F.concat_ws("_", "book_id", F.col("chunk_index").cast("string")))
+    place = ranked(d.select("doc_id", "source"), "source", ["doc_id"], "chunk_index").select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"))
+    return d.join(place, "doc_id").select("doc_id", F.col("source").alias("book_id"), "chunk_index", "text").withColumn("passage_id", F.concat_ws("_", "book_id", F.col("chunk_index").cast("string")))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.lower(F.substring_index("text", " ", 1)).alias("name")).distinct()
 
 
-def sparse_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph of few edges with several components."""
-    return triples(spark, sf_dir).filter("source % 700 = 0 and subject <> object")
-
-
 def chaptered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with headings: a document's first half, line 2 and on below two to four of them."""
     d = table(spark, sf_dir, "documents")
@@ -88,16 +85,15 @@ _PLACE = "case trait_name " + " ".join(f"when '{t}' then {i}" for i, t in enumer
 
 #: Common table expressions; ``sql`` puts those that a query needs before it.
 CTE = {
-    "triples": f"""select ((l_orderkey * 8 + l_linenumber) * 65536 + l_partkey) * 2048 + l_suppkey as ord, 'E' || (o_custkey % 200) as subject,
-  ({_LIST})[1 + floor(sqrt(l_partkey % 361))::int] as relation, 'E' || (l_partkey % 200) as object,
+    "triples": f"""select ((l_orderkey * 8 + l_linenumber) * 65536 + l_partkey) * 2048 + l_suppkey as ord, 'E' || o_custkey as subject,
+  ({_LIST})[1 + floor(sqrt(l_partkey % 361))::int] as relation, 'E' || l_partkey as object,
   (100 - 5 * round(l_discount * 100)::int)::double / 100::double as confidence, p_name as ev_text, l_linenumber::bigint * 10 as ev_start,
   l_linenumber::bigint * 10 + floor(l_quantity)::bigint - 5 as ev_end, o_orderpriority as book_id, l_orderkey as source
   from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey""",
     "sure": "select * from triples where coalesce(confidence, 0) >= 0.65",
     "seen": "select * from sure where ev_start < ev_end and length(ev_text) between 10 and 500 and trim(ev_text) <> ''",
     "qa": "select *, min(ord) over (partition by subject, relation, object) as first_ord from seen where subject <> object and subject <> '' and object <> '' qualify row_number() over (partition by subject, relation, object order by confidence desc, ord) = 1",
-    "sparse": "select * from triples where source % 700 = 0 and subject <> object",
-    "aliases": "select 'E' || k as alias, 'E' || (k - 1) as canonical, (k % 10) / 10::double as confidence from range(1, 200, 2) r(k) union all select 'E6', 'E4', 0.9::double",
+    "aliases": "select 'E' || c_custkey as alias, 'E' || (c_custkey - 1) as canonical, (c_custkey % 10) / 10::double as confidence from customer where c_custkey % 2 = 1 union all select 'E6', 'E4', 0.9::double",
     "ev": f"select event_id, 'U' || user_id as person_name, {_CASE} as trait_name, value, (props->>'$.k')::bigint as k, row_number() over (partition by user_id, event_type order by event_id) as n from events",
     "spans": "select person_name, trait_name, n, floor(value * 10)::bigint as s, floor(value * 10)::bigint + k as e, k, event_id from ev where n <= 3",
     "traits": "select person_name, trait_name, avg(least(value / 500, 1.0::double)) as score, max(case when n <= 3 then (event_id % 100) / 100::double end) as confidence, count(*) filter (n <= 3) as n_spans from ev group by 1, 2",
@@ -114,12 +110,14 @@ CTE = {
     "deg": "select id, count(*) as degree from (select src as id from edges union all select dst from edges) group by id",
     "pairs": "select distinct least(src, dst) as a, greatest(src, dst) as b from edges where src <> dst",
     "ways": "select a, b from pairs union all select b, a from pairs",
-    "reach": "select id, id as seen from deg union select reach.id, ways.b from reach join ways on reach.seen = ways.a",
-    "comp": "select id, min(seen) as component from reach group by id",
+    "reach": "select id, id from deg union select ways.b, min(reach.component) from reach join ways on ways.a = reach.id join recurring.reach old on old.id = ways.b where reach.component < old.component group by ways.b",
+    "comp": "select id, component from reach",
     "chaptered": "select doc_id, 'Preface' || chr(10) || 'CHAPTER I' || chr(10) || substring(text, 1, (length(text) // 2)::int) || chr(10) || 'Book 2 of more' || chr(10) || substring(text, (length(text) // 2)::int + 1) || case when doc_id % 2 = 0 then chr(10) || '3. End' || chr(10) || 'last' || chr(10) || '  part iv  ' || chr(10) else '' end as text from documents",
 }
+#: Recursions that keep one row a key, the last.
+_KEYED = {"reach": "reach(id, component) using key (id)"}
 _NEEDS = {
-    "sure": ["triples"], "seen": ["sure"], "qa": ["seen"], "sparse": ["triples"], "spans": ["ev"], "traits": ["ev"], "clash": ["spans"], "good": ["traits", "spans", "clash"],
+    "sure": ["triples"], "seen": ["sure"], "qa": ["seen"], "spans": ["ev"], "traits": ["ev"], "clash": ["spans"], "good": ["traits", "spans", "clash"],
     "finals": ["good"], "hits": ["passages", "names"], "sampled": ["hits"], "even": ["sampled"], "used": ["even"], "deg": ["edges"], "pairs": ["edges"], "ways": ["pairs"], "reach": ["deg", "ways"], "comp": ["reach"],
 }
 
@@ -136,5 +134,5 @@ def sql(query: str, *needs: str, base: str = "qa") -> str:
 
     for n in needs:
         add(n)
-    recursive = "recursive " if "reach" in order or query.startswith("--recursive") else ""
-    return f"with {recursive}" + ",\n".join(f"{n} as ({CTE[n].format(base=base) if n == 'edges' else CTE[n]})" for n in order) + "\n" + query if order else query
+    recursive = "recursive " if "reach" in order else ""
+    return f"with {recursive}" + ",\n".join(f"{_KEYED.get(n, n)} as ({CTE[n].format(base=base) if n == 'edges' else CTE[n]})" for n in order) + "\n" + query if order else query
