@@ -7,7 +7,7 @@ lose all their lines, except in the largest ``doc_id`` that holds them.
 Only 128-bit hashes, document ids and positions move: they are range-partitioned by
 (hash, document), so that a line of half the corpus is spread over many tasks, and
 sorted by document and position; each partition streams the first occurrence in each
-document and sums them before the sums of a key meet. What comes back is a
+document and sums them before the sums of a key meet; the sums of a key go back to its lines in parts dealt by document. What comes back is a
 compressed keep bitmap for each document (runs of kept lines), not text.
 
 Defined cases: a null or empty text is one empty line; rows with the same ``doc_id``
@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import SPACES, ascii_lower, documents, key128, text_of
+from storyloom.llm.graph import salt_of
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -44,8 +45,11 @@ def dropped_runs(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     key = ["_ld_h1", "_ld_h2"]
     rows = hashed_lines(df, min_chars).repartitionByRange(*key, "doc_id").sortWithinPartitions(*key, "doc_id", "_ld_text", "_ld_pos")
     first = F.row_number().over(W.partitionBy(*key, "doc_id").orderBy("_ld_text", "_ld_pos")) == 1
-    shared = rows.withColumn("_ld_first", first).filter("_ld_first").groupBy(*key).agg(F.count("*").alias("_ld_docs"), F.max("doc_id").alias("_ld_holder")).filter(F.col("_ld_docs") >= min_docs)
-    gone = rows.join(shared, key).filter(~F.col("doc_id").eqNullSafe(F.col("_ld_holder")))
+    salt = salt_of("doc_id", df)  # a key of half the corpus meets its sums in as many parts
+    parts = rows.withColumn("_ld_first", first).filter("_ld_first").groupBy(*key, salt.alias("_ld_salt")).agg(F.count("*").alias("_ld_docs"), F.max("doc_id").alias("_ld_holder"))
+    shared = parts.groupBy(*key).agg(F.sum("_ld_docs").alias("_ld_docs"), F.max("_ld_holder").alias("_ld_holder")).filter(F.col("_ld_docs") >= min_docs).drop("_ld_docs")
+    shared = parts.select(*key, "_ld_salt").join(shared, key)
+    gone = rows.withColumn("_ld_salt", salt).join(shared, [*key, "_ld_salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("_ld_holder")))
     at = gone.groupBy("doc_id", "_ld_text").agg(F.sort_array(F.collect_set("_ld_pos")).alias("_ld_at"))
     p = F.col("_ld_at")
     starts = F.filter(p, lambda x, i: (i == 0) | (F.get(p, F.greatest(i - 1, F.lit(0))) != x - 1))
@@ -63,7 +67,8 @@ def _kept_runs(n_lines: Column, gone: Column) -> Column:
 
 
 def keep_bitmaps(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Every row of ``df`` with n_lines, n_dropped and ``keep_runs``: the compressed keep bitmap, as (first line, number of lines)."""
+    """Every row of ``df`` with n_lines, n_dropped and ``keep_runs``: the compressed keep bitmap, as (first line, number of lines).
+    Columns of these names that came are replaced."""
     gone = dropped_runs(df, min_chars, min_docs).withColumnRenamed("doc_id", "_ld_doc").withColumnRenamed("_ld_text", "_ld_of")
     rows = df.withColumn("_ld_text", F.xxhash64(text_of()))
     out = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_text") == F.col("_ld_of")), "left")
