@@ -10,7 +10,8 @@ Defined cases: a null text counts as the empty one; two empty sketches resemble
 other fully (1.0), an empty and another not at all; equal texts have equal
 fingerprints; a null ``doc_id`` orders after every other; repeated rows give one
 result each and are ordered by their text; an empty table gives an empty result.
-Only the named columns are read, so extra columns never clash.
+Extra columns are not read; ``with_next`` passes them on, but for names that begin with ``_fp_``, which it takes, and those of the
+``next_`` columns, which it adds.
 """
 
 from __future__ import annotations
@@ -95,18 +96,19 @@ def with_next(df: DataFrame, key: str, text: str, carry: list[str], parts: int |
         full = F.size(F.filter(rough, lambda b: b <= x)) * step  # bounds are searched in two steps of about their root
         return full + F.size(F.filter(F.slice(fine, full + 1, step), lambda b: b <= x))
 
-    rows = df.withColumn("_key", key_of).withColumn("_block", block(F.col("_key")))
-    heads = sorted((r["_block"], r["head"]) for r in rows.groupBy("_block").agg(F.max("_key").alias("head")).collect())
+    rows = df.withColumn("_fp_key", key_of).withColumn("_fp_block", block(F.col("_fp_key")))
+    heads = sorted((r["_fp_block"], r["head"]) for r in rows.groupBy("_fp_block").agg(F.max("_fp_key").alias("head")).collect())
     ends = [(h, heads[(i + 1) % len(heads)][0]) for i, (_, h) in enumerate(heads)]
-    ends_df = spark.createDataFrame(ends, "_head long, _to int")
-    rows = rows.join(F.broadcast(ends_df), F.col("_key") == F.col("_head"), "left").drop("_head")
-    places = F.array_compact(F.array(F.struct(F.col("_block").alias("at"), F.lit(0).alias("end")), F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("at"), F.lit(1).alias("end")))))
-    rows = rows.withColumn("_place", F.explode(places)).repartition(F.col("_place.at"))
+    ends_df = spark.createDataFrame(ends, "_fp_head long, _fp_to int")
+    rows = rows.join(F.broadcast(ends_df), F.col("_fp_key") == F.col("_fp_head"), "left").drop("_fp_head")
+    places = F.array_compact(F.array(F.struct(F.col("_fp_block").alias("at"), F.lit(0).alias("end")), F.when(F.col("_fp_to").isNotNull(), F.struct(F.col("_fp_to").alias("at"), F.lit(1).alias("end")))))
+    rows = rows.withColumn("_fp_place", F.explode(places)).select("*", F.col("_fp_place.at").cast("int").alias("_fp_at"), F.col("_fp_place.end").alias("_fp_end"))
+    rows = rows.repartitionById(len(bounds) + 1, F.col("_fp_at"))  # each block is one task's
     if compute is not None:
         rows = compute(rows)
-    w = W.partitionBy("_place.at").orderBy("_place.end", F.desc("_key"), F.xxhash64(text))
+    w = W.partitionBy("_fp_at").orderBy("_fp_end", F.desc("_fp_key"), F.xxhash64(text))
     out = rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carry))
-    return out.filter(F.col("_place.end") == 0).drop("_key", "_block", "_to", "_place")
+    return out.filter(F.col("_fp_end") == 0).drop("_fp_key", "_fp_block", "_fp_to", "_fp_place", "_fp_at", "_fp_end")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
