@@ -44,7 +44,8 @@ from storyloom.llm.suffix_array import common_prefixes, suffix_array
 LENGTH, GRAM = 200, 64
 #: Bytes of a shard that are suffix-sorted at once; pieces of one anchor stay together.
 SHARD_BYTES = 1 << 20
-_POS = np.uint64((1 << 28) - 1)
+#: Bytes whose windows are told at once; positions among them have 28 bits.
+AT_ONCE, _POS = 1 << 24, np.uint64((1 << 28) - 1)
 
 
 def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +56,20 @@ def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchored(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of window starts with one anchor: text, first start, end of starts, anchor's hash."""
+    """Runs of window starts with one anchor: text, first start, end of starts, anchor's hash. Long data are worked on in
+    parts that overlap by a window less one byte; a run that lies in two parts comes as two."""
+    if len(data) < AT_ONCE + length:
+        return _anchored(offsets, data, length, gram)
+    out = []
+    for lo in range(0, len(data) - length + 1, AT_ONCE):
+        hi = min(len(data), lo + AT_ONCE + length - 1)
+        a, b = np.searchsorted(offsets, lo, side="right"), np.searchsorted(offsets, hi, side="left")
+        text, first, end, h = _anchored(np.concatenate([[0], offsets[a:b] - lo, [hi - lo]]), data[lo:hi], length, gram)
+        out.append((text + a - 1, first + lo, end + lo, h))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _anchored(offsets: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     n, grams = len(data), length - gram + 1
     none = np.empty(0, np.int64)
     if n < length:

@@ -3,8 +3,8 @@
 All suffixes of one bucket that are known at a time induce their predecessors in one
 step, so that a pass takes a few steps for each symbol of the alphabet instead of one for each
 suffix. Leftmost-smaller substrings are sorted and named by a first pass; where names repeat,
-the string of names is sorted by prefix doubling (its alphabet is too large for steps by
-bucket); a second pass induces the array from them.
+the string of names is sorted in the same way, recursively, as long as there are no more than ``MOST_NAMES`` of them. Where there are more, steps
+by bucket would be too many and most names are different anyway: there a few rounds of prefix doubling sort the string. A second pass induces the array from it.
 """
 
 from __future__ import annotations
@@ -74,8 +74,12 @@ class _Inducer:
         return sa
 
 
+#: Different names up to which their string is sorted recursively.
+MOST_NAMES = 1 << 12
+
+
 def _doubled(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names."""
+    """Order of the suffixes of a string of names, by prefix doubling."""
     rank, step, m = names.astype(np.int64), 1, len(names)
     while True:
         after = np.zeros(m, np.int64)
@@ -91,6 +95,12 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def _sorted_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names, the last of which is the least and the only one of its kind."""
+    k = int(names.max()) + 1
+    return suffix_array(names, k) if k <= MOST_NAMES else _doubled(names)
+
+
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Of symbols below k; the last must be 0 and the only one."""
     n = len(t)
@@ -117,7 +127,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     name[by_substring] = np.concatenate([[0], np.cumsum(~same)])
     if not same.any():
         return ind.induce(by_substring)
-    return ind.induce(lms[_doubled(name[lms])])
+    return ind.induce(lms[_sorted_names(name[lms])])
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
