@@ -1,21 +1,23 @@
 """Language-model scores: a log-bilinear model over word classes, beside a unigram base.
 
-All training texts are counted; nothing is sampled. The most frequent words are
+All training texts are counted and trained on; nothing is sampled from them. The ``SINGLE`` most frequent words are
 classes of their own, every other word belongs to one of ``TAIL`` classes by its last
-three bytes, so that a class is known for any word. The model is log-bilinear:
+three bytes, so that a class is known for any word. The model is log-bilinear, with the classes g and h of the two tokens before:
 
-    s(h, w) = (r_h C) . q_w + b_w,    P(w | h) = exp s(h, w) / sum over w' of exp s(h, w')
+    s(g, h, w) = (r_h C + r_g D) . q_w + b_w,    P(w | g, h) = exp s(g, h, w) / sum over w' of exp s(g, h, w')
 
-for the class w of a token and the class h of the token before. It is trained in
-numpy by noise-contrastive estimation against the classes' own frequencies, on the
-counts of all pairs of classes in the training texts, with the noise taken in
-expectation. One product of matrices then gives all normalised log-probabilities. A word
+It is trained in numpy by noise-contrastive estimation, in two steps. First, with h alone, on the
+counts of all pairs of classes, with the noise (the classes' own frequencies) in expectation, on the driver, whose work doesn't grow with the corpus. Then
+each task goes on from there over the tokens of its own texts in batches, with noise drawn
+anew for each batch, and the tasks' parameters are averaged, weighted by their tokens. One product of matrices for each h
+then gives all normalising sums, so that a batch of tokens gets normalised log-probabilities from three tables. A word
 of a tail class has the class's probability times its own share of the class,
 (c + 0.1) / (sum of c + 0.1, with one more 0.1 for unknown words), so that a token's
 probabilities sum to 1.
 
 Words are keyed by a 64-bit hash. The ``HEAD`` most frequent words and the model (fixed
-sizes) go to every task; the other words of a text meet their counts in a join.
+sizes) go to every task; the other words of a text meet their counts in a join. The classes don't grow with the
+corpus; the counts of words do.
 
 Defined cases: a null or empty text has one token, its end; a null ``doc_id`` counts
 as the text ''; repeated rows are scored one by one; without training texts all
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm.arrow import byte_offsets, pieces
-from storyloom.llm.common import documents, most_frequent, written
+from storyloom.llm.common import Scratch, documents, most_frequent
 from storyloom.llm.spans import hash_spans, word_spans
 
 #: Words whose counts go to every task; classes of single words and of endings.
@@ -42,6 +44,8 @@ CLASSES = SINGLE + 1 + TAIL
 ADD = 0.1
 #: Counts that a task holds before it passes them on.
 HELD = 1 << 20
+#: Tokens of a batch, noise classes drawn for it, and the length of a step.
+BATCH, NOISE, RATE = 1 << 12, 64, 0.05
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,6 +148,11 @@ def with_ends(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return now, np.concatenate([[END], now[:-1]])
 
 
+def two_before(before: np.ndarray) -> np.ndarray:
+    """The classes two tokens before, given those one before: an end stands before a text's first two words."""
+    return np.where(before == END, END, np.concatenate([[END], before[:-1]]))
+
+
 def pair_counts(train: DataFrame, head) -> DataFrame:
     """(pair, n): how often each class follows another, END standing before a text's first word; pair is before * CLASSES + class."""
 
@@ -159,8 +168,12 @@ def pair_counts(train: DataFrame, head) -> DataFrame:
     return train.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def train_model(pairs: np.ndarray, dim: int = 32, noise: float = 25.0, steps: int = 250, rate: float = 0.05, seed: int = 7) -> np.ndarray:
-    """Normalised natural log-probabilities of each class (column) after each class (row), from the counts of pairs."""
+#: The parameters in order: context vectors, C, D, class vectors, offsets.
+Parameters = list[np.ndarray]
+
+
+def train_pairs(pairs: np.ndarray, dim: int = 32, noise: float = 25.0, steps: int = 250, rate: float = 0.05, seed: int = 7) -> Parameters:
+    """The parameters that the counts of pairs alone give; D is zero."""
     total = max(1.0, pairs.sum())
     data = (pairs / total).astype(np.float32)
     before = data.sum(1)
@@ -187,16 +200,101 @@ def train_model(pairs: np.ndarray, dim: int = 32, noise: float = 25.0, steps: in
             v[i] += 0.01 * (d * d - v[i])
             par[i] = par[i] - step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
     r, c, q, b = par
-    s = ((r @ c) @ q.T + b).astype(np.float64)
-    s -= s.max(1, keepdims=True)
-    return s - np.log(np.exp(s).sum(1, keepdims=True))
+    return [r, c, np.zeros_like(c), q, b]
+
+
+def _row_sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(index, kind="stable")
+    i = index[order]
+    begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    return i[begin], np.add.reduceat(rows[order], begin)
+
+
+class Trainer:
+    """Steps of noise-contrastive estimation over batches of tokens, each length adapted to the squares of what came before."""
+
+    def __init__(self, par: Parameters, p: np.ndarray, seed: int) -> None:
+        self.par, self.log_noise = [x.astype(np.float32).copy() for x in par], np.log(NOISE * p).astype(np.float32)
+        self.squares = [np.full_like(x, 1e-2) for x in self.par]
+        self.rng, self.cum, self.tokens = np.random.default_rng(seed), np.cumsum(p), 0
+
+    def _move(self, i: int, at, g: np.ndarray) -> None:
+        self.squares[i][at] += g * g
+        self.par[i][at] -= RATE * g / np.sqrt(self.squares[i][at])
+
+    def batch(self, g: np.ndarray, h: np.ndarray, w: np.ndarray) -> None:
+        """g, h and w are the classes of tokens: two before, one before, and their own."""
+        r, c, d, q, b = self.par
+        n = len(w)
+        drawn = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]), len(b) - 1)
+        rh, rg = r[h], r[g]
+        x = rh @ c + rg @ d
+        hit = 1 / (1 + np.exp(np.einsum("ij,ij->i", x, q[w]) + b[w] - self.log_noise[w]))  # how far from certain that it is data
+        miss = 1 / (1 + np.exp(-(x @ q[drawn].T + b[drawn] - self.log_noise[drawn])))
+        hit, miss = (-hit / n).astype(np.float32), (miss / n).astype(np.float32)
+        gx = hit[:, None] * q[w] + miss @ q[drawn]
+        scale = np.float32(n) ** 0.5  # steps are adapted to a batch's sums, not its means
+        where, sums = _row_sums(np.concatenate([w, drawn]), np.concatenate([hit[:, None] * x, miss.T @ x]))
+        at_b, of_b = _row_sums(np.concatenate([w, drawn]), np.concatenate([hit, miss.sum(0)]))
+        at_r, of_r = _row_sums(np.concatenate([h, g]), np.concatenate([gx @ c.T, gx @ d.T]))
+        gc, gd = rh.T @ gx, rg.T @ gx
+        for i, (at, grad) in enumerate(((at_r, of_r), (slice(None), gc), (slice(None), gd), (where, sums), (at_b, of_b))):
+            self._move(i, at, grad * scale)
+        self.tokens += n
+
+
+def train_tokens(train: DataFrame, head, par: Parameters, p: np.ndarray) -> Parameters:
+    """The parameters after each task has gone on over all its tokens, averaged by tokens."""
+    shapes, sizes = [x.shape for x in par], [x.size for x in par]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        t, held, n = Trainer(par, p, TaskContext.get().partitionId()), [], 0
+        for b in pieces(batches):
+            h, tail, first = words_of(b.column(0))
+            now, before = with_ends(head.value.classes(head.value.find(h), tail), first)
+            held.append(np.stack([two_before(before), before, now]))
+            n += len(now)
+            if n >= BATCH:
+                x = np.concatenate(held, axis=1)
+                for at in range(0, n - n % BATCH, BATCH):
+                    t.batch(*x[:, at : at + BATCH])
+                held, n = [x[:, n - n % BATCH :]], n % BATCH
+        if n:
+            t.batch(*np.concatenate(held, axis=1))
+        if t.tokens:
+            flat = np.concatenate([x.ravel() for x in t.par]).astype(np.float64) * t.tokens
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, float(t.tokens)))], ["i", "x"])
+
+    got = train.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow().sort_by("i")
+    x = got["x"].to_numpy()
+    if not len(x):
+        return par
+    parts = np.split((x[:-1] / x[-1]).astype(np.float32), np.cumsum(sizes)[:-1])
+    return [v.reshape(s) for v, s in zip(parts, shapes, strict=True)]
+
+
+class Tables:
+    """What gives normalised natural log-probabilities: near[h, w] + far[g, w] - norm[g, h]."""
+
+    def __init__(self, par: Parameters) -> None:
+        r, c, d, q, b = (x.astype(np.float32) for x in par)
+        self.near, self.far = (r @ c) @ q.T + b, (r @ d) @ q.T
+        top = self.near.max(1) + self.far.max()  # no exponent overflows
+        self.norm = np.empty((CLASSES, CLASSES), np.float32)
+        for h in range(CLASSES):
+            self.norm[:, h] = np.log(np.exp(self.far + (self.near[h] - top[h])).sum(1, dtype=np.float64)) + top[h]
+
+    def log_p(self, g: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.near[h, w].astype(np.float64) + self.far[g, w] - self.norm[g, h]
 
 
 class Model:
-    """What every task gets: the frequent words, the model, each tail class's mass, the base's total."""
+    """What every task gets: the frequent words, the model's tables, each tail class's mass, the base's total."""
 
-    def __init__(self, head: Head, log_p: np.ndarray, mass: np.ndarray, tokens: int, kinds: int, ends: int) -> None:
-        self.head, self.log_p, self.mass = head, (log_p / np.log(10)).astype(np.float32), mass
+    def __init__(self, head: Head, tables: Tables, mass: np.ndarray, tokens: int, kinds: int, ends: int) -> None:
+        self.head, self.tables, self.mass = head, tables, mass
         self.tokens, self.kinds, self.ends = tokens, kinds, ends
 
     def base_total(self) -> float:
@@ -219,7 +317,9 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
     mass[in_class["k"].to_numpy()] += in_class["c"].to_numpy() + ADD * in_class["n"].to_numpy()
     np.subtract.at(mass, top["k"].to_numpy()[:SINGLE], top["c"].to_numpy()[:SINGLE] + ADD)  # they are classes of their own
     mass = np.maximum(mass, ADD)
-    return Model(head, train_model(pairs.reshape(CLASSES, CLASSES)), mass, int(total[0] or 0) + ends, int(total[1]) + (ends > 0), ends)
+    pairs = pairs.reshape(CLASSES, CLASSES)
+    p = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
+    return Model(head, Tables(train_tokens(train, shared, train_pairs(pairs), p)), mass, int(total[0] or 0) + ends, int(total[1]) + (ends > 0), ends)
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,n:long>>"
@@ -246,7 +346,7 @@ def score_rows(docs: DataFrame, model) -> DataFrame:
             in_tail = cls > END
             add = lambda of, x: np.bincount(of, x, n)
             base = add(text, in_head) + np.log10(m.ends + ADD) - (np.diff(first) + 1) * m.base_total()
-            score = add(token_text, m.log_p[before, now]) + add(text, np.where(in_tail, in_head - log_mass[cls], 0.0))
+            score = add(token_text, m.tables.log_p(two_before(before), before, now) / np.log(10)) + add(text, np.where(in_tail, in_head - log_mass[cls], 0.0))
             other = np.flatnonzero(~known)
             pair = np.lexsort((h[other], text[other]))
             t, x = text[other][pair], h[other][pair]
@@ -269,9 +369,10 @@ def score(df: DataFrame) -> DataFrame:
     """Fits on the folds that aren't held out and scores all rows."""
     docs = split(df)
     train = docs.filter(~F.col("held_out"))
-    counts = written(word_counts(train), "word-counts")
+    scratch = Scratch(df.sparkSession)
+    counts = scratch.written(word_counts(train), "word-counts")
     model = fit(train, counts)
-    rows = written(score_rows(docs, df.sparkSession.sparkContext.broadcast(model)), "scored")
+    rows = scratch.written(score_rows(docs, df.sparkSession.sparkContext.broadcast(model)), "scored")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.n")
     met = rare.join(counts.select("h", "c"), "h", "left")
     sums = met.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))

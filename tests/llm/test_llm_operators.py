@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from storyloom.llm import bpe, fingerprint, line_dedup, lm, near_dedup, packing, pii, quality_rules, secrets, substring_dedup
 from storyloom.llm.bytebpe import ByteBPE
@@ -126,6 +127,34 @@ def test_fingerprints(spark, stored):
     assert whole == every[: fingerprint.K]
 
 
+def test_fingerprint_query_by_brute_force(spark, tmp_path):
+    """edited_sha256, near_edited and near_next of the query's rows, from the texts alone."""
+    rows = [(i, t) for i, t in corpus() if i is not None][:-1] + [(50, "alone " * 3), (60, prose(random.Random(3), 700))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    order = sorted(rows, key=lambda r: -r[0])
+    after = {d: order[(i + 1) % len(order)][1] or "" for i, (d, _) in enumerate(order)}
+
+    def words_hash(text):
+        df = fingerprint.with_sketch(spark.createDataFrame([(text,)], "text string"), "text", "s")
+        return set(df.first().s)
+
+    def like(a, b):
+        both = sorted(a | b)[: fingerprint.K]
+        return len(set(both) & a & b) / len(both) if both else 1.0
+
+    texts = {d: t or "" for d, t in rows}
+    edited = {d: t[: len(t) - len(t) // 3] + after[d][: len(t) // 3] for d, t in texts.items()}
+    some = [d for d in texts if len(texts[d]) < 9000]
+    sketch = {t: words_hash(t) for d in some[::3] for t in (texts[d], edited[d], after[d])}
+    got = {r.doc_id: r for r in fingerprint.query(spark, str(tmp_path)).collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(edited[d].encode()).hexdigest()
+    for d in some[::3]:
+        assert got[d].near_edited == pytest.approx(like(sketch[texts[d]], sketch[edited[d]]))
+        assert got[d].near_next == pytest.approx(like(sketch[texts[d]], sketch[after[d]]))
+
+
 def test_next_document_in_descending_order(spark, stored):
     rows = [(d, t) for d, t in corpus() if d is not None and (d, t) != corpus()[2]] + [corpus()[2]]
     ids = sorted({d for d, _ in rows}, reverse=True)
@@ -306,19 +335,62 @@ def test_language_model(spark, stored):
     assert all(r.score <= 0 for r in got)
     empty = lm.score(stored.limit(0))
     assert empty.count() == 0
+    # the scores token by token, from the model's parts
+    train = lm.split(stored).filter("not held_out")
+    model = lm.fit(train, written(lm.word_counts(train), "counts"))
+    tables, scores = model.tables, collections.defaultdict(list)
+    for d, ws in rows:
+        if len(ws) > 350:
+            continue
+        log10, g, h = 0.0, lm.END, lm.END
+        for w in ws[:-1]:
+            x, tail, _ = lm.words_of(pa.array([w]))
+            cls = int(model.head.classes(model.head.find(x), tail)[0])
+            all_ = tables.log_p(np.full(lm.CLASSES, g), np.full(lm.CLASSES, h), np.arange(lm.CLASSES))
+            assert np.exp(all_).sum() == pytest.approx(1, abs=1e-4) if len(ws) < 90 else True
+            log10 += all_[cls] / math.log(10) + (math.log10((c[w] + 0.1) / model.mass[cls]) if cls > lm.END else 0)
+            g, h = (lm.END if h == lm.END else h), cls
+        log10 += float(tables.log_p(np.array([g]), np.array([h]), np.array([lm.END]))[0]) / math.log(10)
+        scores[d].append(log10)
+    again = collections.defaultdict(list)
+    for r in got:
+        again[r.doc_id].append(r.score)
+    assert len(scores) > 20
+    for d, v in scores.items():
+        assert sorted(again[d]) == pytest.approx(sorted(v), rel=0.02, abs=0.05)  # batches meet tasks in another order
 
 
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(1)
     p = rng.dirichlet(np.full(lm.CLASSES, 0.02), lm.CLASSES) * rng.integers(1, 3000, lm.CLASSES)[:, None]
     pairs = np.floor(p)
-    log_p = lm.train_model(pairs)
-    assert np.exp(log_p).sum(1) == pytest.approx(np.ones(lm.CLASSES))
+    par = lm.train_pairs(pairs)
+    tables = lm.Tables(par)
+    every = np.arange(lm.CLASSES)
+    log_p = np.stack([tables.log_p(np.full(lm.CLASSES, 3), np.full(lm.CLASSES, h), every) for h in range(lm.CLASSES)])
+    assert np.exp(log_p).sum(1) == pytest.approx(np.ones(lm.CLASSES), abs=1e-4)
     unigram = np.log((pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * lm.CLASSES))
     assert (pairs * log_p).sum() > (pairs * unigram[None]).sum()
-
-
-def test_suffix_arrays():
+    # tokens that only the class two before tells: steps over batches learn it
+    g, h = rng.integers(0, 40, (2, 60_000))
+    w = (g * 7) % 40
+    t = lm.Trainer(par, (np.bincount(w, minlength=lm.CLASSES) + 0.5) / (len(w) + 0.5 * lm.CLASSES), 1)
+    for _ in range(3):
+        for at in range(0, len(w), 1000):
+            t.batch(g[at : at + 1000], h[at : at + 1000], w[at : at + 1000])
+    assert lm.Tables(t.par).log_p(g, h, w).mean() > tables.log_p(g, h, w).mean() + 0.5
+
+
+def test_contexts_begin_anew_in_each_text():
+    now, before = lm.with_ends(np.array([1, 2, 3, 4, 5]), np.array([0, 3, 3, 5]))
+    assert now.tolist() == [1, 2, 3, lm.END, lm.END, 4, 5, lm.END]
+    assert before.tolist() == [lm.END, 1, 2, 3, lm.END, lm.END, 4, 5]
+    assert lm.two_before(before).tolist() == [lm.END, lm.END, 1, 2, lm.END, lm.END, lm.END, 4]
+
+
+@pytest.mark.parametrize("most_names", [0, 3, 1 << 12])
+def test_suffix_arrays(most_names, monkeypatch):
+    monkeypatch.setattr("storyloom.llm.suffix_array.MOST_NAMES", most_names)  # doubling, both, recursion
     rng = random.Random(2)
     for trial in range(150):
         k, n = rng.choice([2, 3, 250]), rng.randint(0, 50)
@@ -353,6 +425,17 @@ def test_substring_dedup(spark, tmp_path):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), r.kept_sha256) for r in got) == want
 
 
+def test_anchors_of_long_data_in_parts(monkeypatch):
+    rng = random.Random(4)
+    data = np.frombuffer(prose(rng, 3000).encode(), np.uint8)
+    offsets = np.array([0, 7, 4000, 4000, 9000, len(data)])
+    windows = lambda runs: {(int(t), w, int(h)) for t, lo, hi, h in zip(*runs, strict=True) for w in range(lo, hi)}
+    whole = windows(substring_dedup.anchored(offsets, data))
+    for step in (300, 3999, 4000, 4321):
+        monkeypatch.setattr(substring_dedup, "AT_ONCE", step)
+        assert windows(substring_dedup.anchored(offsets, data)) == whole
+
+
 def test_secrets_through_layers():
     import base64
     import gzip
@@ -447,8 +530,6 @@ def test_secret_rows(stored):
 
 
 def test_packing(stored):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(packing.default_tokenizer())
     got = packing.pack(stored, packing.default_tokenizer()).collect()
     ids = collections.Counter()
@@ -508,8 +589,6 @@ def test_long_sentences_are_cut():
 
 
 def test_byte_pairs(spark, stored):
-    from tokenizers import Tokenizer
-
     path = bpe.default_tokenizer()
     t = Tokenizer.from_file(path)
     rng = random.Random(3)
@@ -529,14 +608,32 @@ def test_byte_pairs(spark, stored):
 
 
 def test_both_public_vocabularies_word_by_word():
-    from tokenizers import Tokenizer
-
     t, words = Tokenizer.from_file(packing.default_tokenizer()), packing.TextEncoder(packing.default_tokenizer())
     texts = ["It's DON'T 12½ été.", "a\x1cb", "", None, "<|startoftext|>hi", "Ⅷ İstanbul", "x" * 400 + "."]
     n, ids, _ = words.encode(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_all_scripts_as_the_library_does(tmp_path, seed):
+    """Both encoders against the library on texts of all scripts; only texts with characters newer than Python's tables may go through it."""
+    rng = random.Random(seed)
+    bits = ["the ", "It's ", "we'LL", "don’t", "“quoted” ", " — ", "Привет, мир! ", "ΣΑΣ Σ ", "中文字符没有空格，句子。", "日本語テキスト", "한국어 문장 ", "e\u0301", "A\u030a", "İstanbul ", "ǅ", "\u3000", "\u2003x", "\xa0", "\u0085", "१२३", "Ⅷ", "½", "🙂👍🏽", "\ufeff", "\u200b", "<|endoftext|>", "<|startoftext|>", "<|", "'s", "'ß", "  ", "\n\n", "\t", "a", "12", "...", "ﬁ", "ＡＢ", "'sé", "'reд", "字" * 60]
+    words = [b" the", b"the", " да".encode()]
+    path = bpe.default_tokenizer()
+    (tmp_path / "lexicon").write_bytes(compile_lexicon(words, *ByteBPE(path).encode(words)))
+    byte, word = bpe.TextEncoder(path, str(tmp_path / "lexicon")), packing.TextEncoder(packing.default_tokenizer())
+    theirs = [Tokenizer.from_file(p) for p in (path, packing.default_tokenizer())]
+    for new in (False, True):
+        texts = [["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(12)] + [None, "", "\U0001e5f6 new" if new else "old"] for _ in range(40)]
+        for some in texts:
+            for ours, library in ((byte, theirs[0]), (word, theirs[1])):
+                n, ids, *stop = ours.encode(pa.array(some, pa.string()))
+                assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+                assert not stop or len(stop[0]) == len(ids)
+        assert ("tokenizer" in vars(byte)) is new and ("tokenizer" in vars(word)) is new
+
+
 def test_lexicon(tmp_path):
     rng = random.Random(8)
     words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 6))).encode() for _ in range(300)} | {b"", "é".encode()})
