@@ -1,6 +1,6 @@
 """Quality rules: a table of thresholds compiled into one Spark projection.
 
-``measures`` adds word, symbol, stop-word, line and repetition measures to every
+``measures`` adds word, symbol, letter, function-word, line, list and repetition measures to every
 row; ``apply_rules`` turns a table of ``Rule`` rows into one boolean column and
 the list of rules a row breaks. There is no user function and no shuffle: each row
 is judged by itself, on its whole text.
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import SPACES, documents, text_of, word_array
 
-#: Common words of the four languages that the stop-word rule knows.
+#: Words up to this length count as function words in any language, as do the stop words below.
+SHORT = 3
+#: Common words of four languages.
 STOP_WORDS = {
     "en": "the of and to in that for is was with on as by at from this be are not it he she they we you have had but which or an all",
     "fr": "le la les de des du un une et est en que qui dans pour pas sur au avec il elle ce se ou ne par plus son sa ses",
@@ -29,6 +31,10 @@ STOP_WORDS = {
     "es": "el la los las de del un una y es en que por para con no se su al lo como más o pero sus le ha me si",
 }
 SYMBOLS = "#*$%&|<>"
+#: What makes a line one of a list, and what it trails off with.
+BULLETS, TRAILS = "-*•", ("...", "…")
+#: All of ASCII but letters.
+_NO_LETTERS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalpha())
 
 
 @dataclass(frozen=True)
@@ -51,8 +57,11 @@ RULES = (
     *BASE_RULES,
     Rule("word_length", "mean_word", low=2, high=12),
     Rule("symbols", "symbols_per_word", high=0.35),
-    Rule("stop_words", "stop_ratio", low=0.01, from_words=80),
+    Rule("function_words", "stop_ratio", low=0.01, from_words=80),
     Rule("repeated_lines", "dup_line_ratio", high=0.5),
+    Rule("letters", "letter_ratio", low=0.6),
+    Rule("listed_lines", "bullet_ratio", high=0.9),
+    Rule("trailing_lines", "trail_ratio", high=0.3),
 )
 
 
@@ -73,7 +82,10 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.size("_quality.l").cast("long").alias("n_lines"),
             (F.size("_quality.l") - F.size(F.array_distinct("_quality.l"))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop"),
+            F.size(F.filter(w, lambda x: (F.length(x) <= SHORT) & (F.translate(x, _NO_LETTERS, "") == x) | F.lower(x).isin(stop))).cast("long").alias("n_stop"),
+            F.length(F.translate(t, _NO_LETTERS, "")).cast("long").alias("n_letters"),
+            F.size(F.filter("_quality.l", lambda x: F.left(F.btrim(x, F.lit(SPACES)), F.lit(1)).isin(*BULLETS))).cast("long").alias("n_bullets"),
+            F.size(F.filter("_quality.l", lambda x: F.btrim(x, F.lit(SPACES)).endswith(TRAILS[0]) | F.btrim(x, F.lit(SPACES)).endswith(TRAILS[1]))).cast("long").alias("n_trails"),
             F.sort_array(window).alias("s"),
         ),
     )
@@ -92,6 +104,9 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         .withField("symbols_per_word", per(q["n_symbols"], q["n_words"]))
         .withField("stop_ratio", per(q["n_stop"], q["n_words"]))
         .withField("dup_line_ratio", per(q["n_dup_lines"], q["n_lines"]))
+        .withField("letter_ratio", per(q["n_letters"], q["word_chars"]))
+        .withField("bullet_ratio", per(q["n_bullets"], q["n_lines"]))
+        .withField("trail_ratio", per(q["n_trails"], q["n_lines"]))
         .withField("repeat_percent", per(100 * q["n_repeat_words"], q["n_words"])),
     )
 
@@ -138,6 +153,9 @@ def _sql_rule(r: Rule) -> str:
     return f"(({test}) and n_words >= {r.from_words})" if r.from_words else f"({test})"
 
 
+_SQL_SPACES = " || ".join(f"chr({ord(c)})" for c in SPACES)
+_SQL_NO_LETTERS = " || ".join(f"chr({ord(c)})" for c in _NO_LETTERS)
+
 ORACLE = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -148,10 +166,14 @@ r as (select doc_id, count(distinct i + k) as n from c, range(3) u(k) group by 1
 m as (select w.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(l)::bigint as n_lines,
   (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
-  len(list_filter(w, lambda x: lower(x) in ({_sql_list(sorted({x for v in STOP_WORDS.values() for x in v.split()}))})))::bigint as n_stop
+  len(list_filter(w, lambda x: length(x) <= {SHORT} and translate(x, {_SQL_NO_LETTERS}, '') = x or lower(x) in ({_sql_list(sorted({x for v in STOP_WORDS.values() for x in v.split()}))})))::bigint as n_stop,
+  length(translate(t, {_SQL_NO_LETTERS}, ''))::bigint as n_letters,
+  len(list_filter(l, lambda x: left(trim(x, {_SQL_SPACES}), 1) in ({_sql_list(list(BULLETS))})))::bigint as n_bullets,
+  len(list_filter(l, lambda x: {" or ".join(f"ends_with(trim(x, {_SQL_SPACES}), '{x}')" for x in TRAILS)}))::bigint as n_trails
   from w left join r using (doc_id)),
 q as (select *, coalesce(word_chars / nullif(n_words, 0), 0) as mean_word, coalesce(n_symbols / nullif(n_words, 0), 0) as symbols_per_word,
   coalesce(n_stop / nullif(n_words, 0), 0) as stop_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) as dup_line_ratio,
+  coalesce(n_letters / nullif(word_chars, 0), 0) as letter_ratio, coalesce(n_bullets / nullif(n_lines, 0), 0) as bullet_ratio, coalesce(n_trails / nullif(n_lines, 0), 0) as trail_ratio,
   coalesce(100 * n_repeat_words / nullif(n_words, 0), 0) as repeat_percent from m),
 b as (select *, list_filter([{", ".join(f"case when {_sql_rule(r)} then '{r.name}' end" for r in RULES)}], lambda x: x is not null) as broken from q)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
