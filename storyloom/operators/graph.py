@@ -179,9 +179,9 @@ def clustering(edge: DataFrame) -> DataFrame:
 
 
 def assortativity(edge: DataFrame) -> DataFrame:
-    """One row: the correlation of the source's out-degree with the target's in-degree over all edges."""
-    out_, in_ = edge.groupBy("src").agg(F.count("*").alias("o")), edge.groupBy("dst").agg(F.count("*").alias("i"))
-    return edge.select("src", "dst").join(out_, "src").join(in_, "dst").agg(F.corr(F.col("o").cast("double"), F.col("i").cast("double")).alias("assortativity"))
+    """One row: the correlation of the source's out-degree with the target's in-degree over all edges; null where one of them doesn't vary."""
+    out_, in_ = (edge.groupBy(c).agg(F.count("*").cast("double").alias(n)) for c, n in (("src", "o"), ("dst", "i")))
+    return edge.select("src", "dst").join(out_, "src").join(in_, "dst").agg(F.try_divide(F.covar_pop("o", "i"), F.stddev_pop("o") * F.stddev_pop("i")).alias("assortativity"))
 
 
 def neighbourhood(edge: DataFrame, node: DataFrame, named: DataFrame) -> DataFrame:
