@@ -17,9 +17,13 @@ def nfc(s: pa.Array) -> pa.Array:
     return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without Unicode white space at both ends; ``trim`` would take spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at both ends; ``trim`` alone would take spaces only."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -40,20 +44,22 @@ def drop_running_lines(c: Column, most: int = 80, repeats: int = 5) -> Column:
 
     Repeats are found by sorting a page's short lines, so that the work stays near linear in them.
     """
-    lines = F.split(c, "\n")
-    short = F.sort_array(F.filter(F.transform(lines, strip), lambda x: F.length(x).between(1, most - 1)))
+    lines = F.transform(F.split(c, "\n"), lambda x: F.struct(x.alias("line"), strip(x).alias("s")))
+
+    def often(all_: Column) -> Column:
+        short = F.sort_array(F.filter(F.transform(all_, lambda x: x["s"]), lambda s: F.length(s).between(1, most - 1)))
+        # sorted, a line that comes n times equals the one n - 1 places on
+        return let(short, lambda ordered: F.array_distinct(F.filter(ordered, lambda x, i: F.get(ordered, i + (repeats - 1)) == x)))
 
-    def kept(x: Column, often: Column) -> Column:
-        s = strip(x)
-        number = s.rlike(r"(?U)^[\d\s\-–—]+$") & (F.length(s) < 10)
+    def kept(s: Column, gone: Column) -> Column:
+        number = (F.length(s) < 10) & s.rlike(r"(?U)^[\d\s\-–—]+$")
         label = s.rlike(r"(?iU)^(page|p\.)\s*\d+")
-        return (s == "") | ~(F.array_contains(often, s) | number | label)
+        return (s == "") | ~(F.array_contains(gone, s) | number | label)
 
-    def without(often: Column) -> Column:
-        return F.array_join(F.transform(F.filter(lines, lambda x: kept(x, often)), lambda x: F.when(strip(x) == "", "").otherwise(x)), "\n")
+    def without(all_: Column, gone: Column) -> Column:
+        return F.array_join(F.transform(F.filter(all_, lambda x: kept(x["s"], gone)), lambda x: F.when(x["s"] == "", "").otherwise(x["line"])), "\n")
 
-    # sorted, a line that comes n times equals the one n - 1 places on
-    return let(short, lambda ordered: let(F.array_distinct(F.filter(ordered, lambda x, i: F.get(ordered, i + (repeats - 1)) == x)), without))
+    return let(lines, lambda all_: let(often(all_), lambda gone: without(all_, gone)))
 
 
 def paragraphs(c: Column) -> Column:
