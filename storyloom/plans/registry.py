@@ -576,10 +576,10 @@ def _(spark, d):
     return graph.path_measures(edges(spark, d)).withColumn("avg_path_length", F.round("avg_path_length", 6))
 
 
-_CLUSTERED = "select id, coalesce(k, 0) as degree, coalesce(t, 0) as triangles, round(coalesce(2.0 * t / nullif(k * (k - 1), 0), 0)::double, 6) as clustering from deg left join (select a as id, count(*) as k from ways group by 1) using (id) left join (select x.a as id, count(*) as t from ways x join ways y on x.a = y.a and x.b < y.b join pairs p on p.a = x.b and p.b = y.b group by 1) using (id)"
+_CLUSTERED = "select id, coalesce(k, 0) as degree, coalesce(t, 0) as triangles, coalesce(2.0::double * t / nullif(k * (k - 1), 0), 0) as clustering from deg left join (select a as id, count(*) as k from ways group by 1) using (id) left join (select x.a as id, count(*) as t from ways x join ways y on x.a = y.a and x.b < y.b join pairs p on p.a = x.b and p.b = y.b group by 1) using (id)"
 
 
-@query("g7_clustering", sql(_CLUSTERED, "deg", "ways"))
+@query("g7_clustering", sql(f"select * replace (round(clustering, 6) as clustering) from ({_CLUSTERED})", "deg", "ways"))
 def _(spark, d):
     return graph.clustering(edges(spark, d)).withColumn("clustering", F.round("clustering", 6))
 
