@@ -67,8 +67,11 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def components(edge: DataFrame) -> DataFrame:
     """(id, component): the least id of each weakly connected component; rounds grow with the logarithm of the longest path, as labels also jump along labels."""
     scratch = Scratch(edge.sparkSession)
-    links = scratch.written(both_ways(simple(edge)), "links")
-    label = scratch.written(edge.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
+    pairs = scratch.written(edge.select("src", "dst").distinct(), "pairs")
+    links = scratch.written(both_ways(simple(pairs)), "links")
+    first = links.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
+    alone = pairs.filter("src = dst").select(F.col("src").alias("id")).distinct().join(first, "id", "left_anti")
+    label = scratch.written(first.unionByName(alone.withColumn("component", F.col("id"))), "labels")
     while True:
         seen = links.join(label, links["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("m"))
         step = label.join(seen, label["id"] == seen["a"], "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("m"))
@@ -85,6 +88,7 @@ def component_sizes(edge: DataFrame) -> DataFrame:
 
 def largest_component(edge: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id) of the largest component, of equals that of the least name, and its (a, b) both ways."""
+    edge = written(edge.select("src", "dst").distinct(), "pairs")
     label = components(edge)
     largest = label.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
     inside = written(label.join(largest, "component", "left_semi").select("id"), "inside")

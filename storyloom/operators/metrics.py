@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from storyloom.operators.tables import written
 from storyloom.schemas import TRAITS
 
 #: Lower bounds of the confidence bins.
@@ -92,9 +93,13 @@ def graph_quality(edge: DataFrame) -> list[DataFrame]:
 
 def evaluated(triples: DataFrame | None, profiles: DataFrame | None, edge: DataFrame | None, node: DataFrame | None = None, top: int = 10) -> DataFrame | None:
     """(section, metric, value) of what there is; None if there is nothing. Lists, of relations, traits and most connected nodes (with
-    ``node``), have a row for each of their members."""
+    ``node``), have a row for each of their members. What comes is written once, as every section reads it."""
     from storyloom.operators import graph
 
+    once = lambda df, name, cols: None if df is None else written(df.select(*cols), name)
+    triples = once(triples, "triples", ["ord", "relation", "confidence", "evidence_span"])
+    profiles, edge = once(profiles, "profiles", ["traits"]), once(edge, "edges", ["src", "dst"])
+
     parts = []
     listed = lambda section, df, name, value: df.select(F.lit(section).alias("section"), F.col(name).alias("metric"), F.col(value).cast("double").alias("value"))
     if triples is not None:
