@@ -15,7 +15,7 @@ from storyloom.operators.tables import Scratch, written
 from storyloom.schemas import TRAITS
 
 #: Edges and nodes up to which the largest component is sent to the tasks whole, and the bits that a task holds for each of its steps.
-MOST_LINKS, MOST_NODES, TASK_BITS = 1 << 23, 1 << 21, 1 << 28
+MOST_LINKS, MOST_NODES, TASK_BITS = 1 << 23, 1 << 21, 1 << 24
 
 
 def trait_columns(profiles: DataFrame, order: str = "ord") -> DataFrame:
@@ -144,16 +144,16 @@ def _walked(inside: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
         for batch in batches:
             for block in batch.column(0).to_pylist():
                 lo, hi = block * 64 * words, min(nodes, (block + 1) * 64 * words)
-                seen = np.zeros((nodes, words), np.uint64)
+                seen = np.zeros((words, nodes), np.uint64)
                 k = np.arange(hi - lo)
-                np.bitwise_or.at(seen, (lo + k, k >> 6), np.uint64(1) << (k & 63).astype(np.uint64))
+                np.bitwise_or.at(seen, (k >> 6, lo + k), np.uint64(1) << (k & 63).astype(np.uint64))
                 far, total, pairs, most = seen.copy(), 0, 0, 0
                 step = 0
                 while far.any():
                     step += 1
                     new = np.zeros_like(seen)
-                    for w in range(words):  # a column at a time keeps what is gathered small
-                        new[has, w] = np.bitwise_or.reduceat(far[b, w], first) if len(first) else 0
+                    for w in range(words if len(first) else 0):  # a word at a time keeps what is gathered small
+                        new[w, has] = np.bitwise_or.reduceat(far[w][b], first)
                     far = new & ~seen
                     seen |= far
                     n = int(np.bitwise_count(far).sum())
