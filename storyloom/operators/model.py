@@ -107,11 +107,12 @@ def extract(passages: DataFrame, make: Callable[[], Model] = TemplateExtractor)
 def canonicalise(names: DataFrame, make: Callable[[], Model] = CaseCanonicalizer, batch: int = 100) -> DataFrame:
     """(alias, canonical, confidence, ord) from batches of 100 names, ordered by lower case so that spellings meet; later batches win.
 
-    Names are ranked within hashed parts, so that no task ranks all of them; a batch never spans two parts.
+    Names are ranked within hashed parts, so that no task ranks all of them; a batch never spans two parts. All spellings of a
+    name have the rank of the first, so that they are in one batch, which the last name of a batch may make longer than 100.
     """
     n = names.select(F.col(names.columns[0]).alias("e")).distinct()
     part = F.pmod(F.xxhash64(F.lower("e")), F.lit(4096))
-    ranked = n.withColumn("part", part).withColumn("batch", F.floor((F.row_number().over(W.partitionBy("part").orderBy(F.lower("e"), "e")) - 1) / batch))
+    ranked = n.withColumn("part", part).withColumn("batch", F.floor((F.rank().over(W.partitionBy("part").orderBy(F.lower("e"))) - 1) / batch))
     asked = ranked.groupBy("part", "batch").agg(F.to_json(F.sort_array(F.collect_list("e"))).alias("entities"))
     said = answered(asked, make, {"entities": "entities"})
     m = F.from_json("response", "struct<mappings:array<struct<alias:string,canonical:string,confidence:double>>>")["mappings"]

@@ -405,3 +405,11 @@ def test_stream_of_passages(spark, tmp_path):
     t = stream.triple_stream(stream.passage_stream(spark, str(src)))
     stream.write_triples(t, str(out), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(out)).count() == model.extract(p).count() > 0
+
+
+def test_spellings_of_a_name_are_in_one_batch(spark):
+    names = [f"{x}{i}" for i in range(40) for x in ("E", "e")] + ["Ann", "aNN", "ANN", "ann"]
+    df = spark.createDataFrame([(n,) for n in names], "entity string")
+    want = {(n, min(m for m in names if m.lower() == n.lower())) for n in names} - {(n, n) for n in names}
+    for size in (1, 2, 3):
+        assert {(r.alias, r.canonical) for r in model.canonicalise(df, batch=size).collect()} == want
