@@ -67,17 +67,25 @@ def mentioning_by_join(passages: DataFrame, names: DataFrame, key: str = "passag
 
 
 def evenly_sampled(hits: DataFrame, most: int = 50, by: str = "name") -> DataFrame:
-    """At most ``most`` passages for each name, at even steps in order of chunk. Ids are ranked, texts join what is left of them."""
-    ids = hits.select(by, F.coalesce("chunk_index", F.lit(0)).alias("_chunk"), "passage_id")
-    x = ranked(ids, by, ["_chunk", "passage_id"], "rank", "_n")
+    """At most ``most`` passages for each name, at even steps in order of chunk.
+
+    A passage has a hit for each name in it, so hits should come without their texts: their columns are ranked as they are, and
+    ``with_texts`` joins what is left of them. Texts that do come are joined with all hits.
+    """
+    thin = hits.drop("text").withColumn("_chunk", F.coalesce("chunk_index", F.lit(0)))
+    x = ranked(thin, by, ["_chunk", "passage_id"], "rank", "_n")
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / most)).cast("long")
-    kept = x.filter((F.col("_n") <= most) | ((F.col("rank") % step == 0) & (F.col("rank") < step * most))).select(by, "passage_id", "rank")
-    return hits.join(kept, [by, "passage_id"])
+    kept = x.filter((F.col("_n") <= most) | ((F.col("rank") % step == 0) & (F.col("rank") < step * most))).drop("_chunk", "_n")
+    return hits.join(kept.select(by, "passage_id", "rank"), [by, "passage_id"]) if "text" in hits.columns else kept
+
+
+def with_texts(sampled: DataFrame, passages: DataFrame) -> DataFrame:
+    return sampled.join(passages.select("passage_id", "text"), "passage_id")
 
 
 def within_budget(sampled: DataFrame, most_chars: int = 12000, by: str = "name") -> DataFrame:
-    """The leading passages whose headers and texts fit; the first that doesn't ends the context."""
-    size = F.length(passage_header(F.col("passage_id"))) + F.length("text")
+    """The leading passages whose headers and texts fit; the first that doesn't ends the context. ``chars``, the length of a text, may stand for it."""
+    size = F.length(passage_header(F.col("passage_id"))) + (F.length("text") if "text" in sampled.columns else F.col("chars"))
     used = F.sum(size).over(W.partitionBy(by).orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
     return sampled.withColumn("used", used).filter(F.col("used") <= most_chars)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,11 +59,12 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("source_passage_ids", F.array(F.concat(F.col("person_name"), F.lit("_0")))).withColumn("ord", F.substring("person_name", 2, 20).cast("long"))
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One a document: its source is the book. Ids are ranked, texts join them."""
+def passages(spark: SparkSession, sf_dir: str, text: Column | None = None, name: str = "text") -> DataFrame:
+    """One a document: its source is the book. Ids are ranked, texts, or what is made of them, join them."""
     d = table(spark, sf_dir, "documents")
     place = ranked(d.select("doc_id", "source"), "source", ["doc_id"], "chunk_index").select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"))
-    return d.join(place, "doc_id").select("doc_id", F.col("source").alias("book_id"), "chunk_index", "text").withColumn("passage_id", F.concat_ws("_", "book_id", F.col("chunk_index").cast("string")))
+    d = d.select("doc_id", F.col("source").alias("book_id"), (F.col("text") if text is None else text).alias(name))
+    return d.join(place, "doc_id").select("doc_id", "book_id", "chunk_index", name).withColumn("passage_id", F.concat_ws("_", "book_id", F.col("chunk_index").cast("string")))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:

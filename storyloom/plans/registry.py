@@ -527,7 +527,8 @@ def _(spark, d):
 
 
 def _hits(spark, d):
-    p = A.passages(spark, d)
+    """Hits with their texts' lengths: a text has a hit for each name in it."""
+    p = A.passages(spark, d, F.length("text"), "chars").select("doc_id", "chunk_index", "passage_id", "chars")
     return profile.mentioning(docs(spark, d), A.names(spark, d), "doc_id").join(p, "doc_id")
 
 
@@ -673,8 +674,8 @@ def _(spark, d):
 def _(spark, d):
     people = spark.createDataFrame([(c,) for c in synth.world().people], "name string")
     p = synth.passages(spark, 200)
-    hits = profile.mentioning(p, people).join(p, "passage_id")
-    return model.infer_profiles(profile.contexts(profile.evenly_sampled(hits))).select("person_name", F.inline("traits")).select("person_name", "trait_name", "score", F.size("evidence_spans").alias("n_spans"))
+    hits = profile.mentioning(p, people).join(p.drop("text"), "passage_id")
+    return model.infer_profiles(profile.contexts(profile.with_texts(profile.evenly_sampled(hits), p))).select("person_name", F.inline("traits")).select("person_name", "trait_name", "score", F.size("evidence_spans").alias("n_spans"))
 
 
 # --- analyses

@@ -87,8 +87,8 @@ def qa_filters(spark: SparkSession, s: Settings) -> None:
 def traits(spark: SparkSession, s: Settings) -> None:
     p = _passages(spark, s).withColumn("passage_id", passage_id(F.col("book_id"), F.col("chunk_index")))
     people = entity.people(_read(spark, s, "triples_canonical.jsonl", _TRIPLE))
-    hits = profile.mentioning(p, people).join(p.select("passage_id", "book_id", "chunk_index", "text"), "passage_id")
-    found = model.infer_profiles(profile.contexts(profile.evenly_sampled(hits)), s.profiler)
+    hits = profile.mentioning(p, people).join(p.select("passage_id", "book_id", "chunk_index"), "passage_id")
+    found = model.infer_profiles(profile.contexts(profile.with_texts(profile.evenly_sampled(hits), p)), s.profiler)
     ids = profile.first_ids(hits.withColumn("ord", F.struct("book_id", "chunk_index"))).select(F.col("name").alias("person_name"), "source_passage_ids")
     books = hits.groupBy(F.col("name").alias("person_name")).agg(F.min("book_id").alias("book_id"))
     jsonl.save_jsonl(found.join(ids, "person_name").join(books, "person_name"), s.path("traits_raw.jsonl"))

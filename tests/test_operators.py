@@ -14,6 +14,7 @@ from storyloom.operators import chunk, entity, graph, ingest, metrics, model, pr
 from storyloom import ingest as ingest_run
 from storyloom import run
 from storyloom.operators.tables import ranked
+from storyloom.plans import registry
 from storyloom.schemas import PASSAGE, PROFILE, TRIPLE, profile_violations, triple_violations, validate
 from storyloom.sources import graphml, jsonl, pdf
 from storyloom.streaming import passages as stream
@@ -413,3 +414,15 @@ def test_spellings_of_a_name_are_in_one_batch(spark):
     want = {(n, min(m for m in names if m.lower() == n.lower())) for n in names} - {(n, n) for n in names}
     for size in (1, 2, 3):
         assert {(r.alias, r.canonical) for r in model.canonicalise(df, batch=size).collect()} == want
+
+
+def test_texts_stay_out_of_the_ranking_of_hits(spark):
+    """A passage has a hit for each name in it, but its text is neither sorted nor joined for each of them."""
+    p = spark.range(60).selectExpr("concat('p_', id) as passage_id", "cast(id as int) as chunk_index", "repeat('t', cast(id as int) * 20) as text")
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    thin = p.select("passage_id", "chunk_index", F.length("text").alias("chars")).crossJoin(names)
+    thick = profile.within_budget(profile.evenly_sampled(p.crossJoin(names))).select("name", "passage_id", "rank", "used")
+    got = profile.within_budget(profile.evenly_sampled(thin))
+    assert {tuple(r) for r in got.select("name", "passage_id", "rank", "used").collect()} == {tuple(r) for r in thick.collect()}
+    assert "text" not in got.columns and "text" in profile.with_texts(got, p).columns
+    assert "text" not in registry._hits(spark, "/root/testdata/sf0.001").columns
