@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyloom.operators.tables import Scratch, written
+from storyloom.operators import paths
+from storyloom.operators.tables import Scratch, ranked, written
 from storyloom.schemas import TRAITS
 
-#: Edges and nodes up to which the largest component is sent to the tasks whole, and the bits that a task holds for each of its steps.
-MOST_LINKS, MOST_NODES, TASK_BITS = 1 << 23, 1 << 21, 1 << 24
+#: Links (both ways) and nodes up to which the largest component is sent to the tasks whole; the bits that a task holds twice, and the most words of 64 sources.
+MOST_LINKS, MOST_NODES, TASK_BITS, MOST_WORDS = 1 << 25, 1 << 21, 1 << 30, 16
+#: Rows of a step beyond that.
+JOINED_ROWS = 1 << 28
 
 
 def trait_columns(profiles: DataFrame, order: str = "ord") -> DataFrame:
@@ -64,22 +65,28 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(edge: DataFrame) -> DataFrame:
-    """(id, component): the least id of each weakly connected component; rounds grow with the logarithm of the longest path, as labels also jump along labels."""
-    scratch = Scratch(edge.sparkSession)
+def components(edge: DataFrame, keep: Scratch | None = None) -> DataFrame:
+    """(id, component): the least id of each weakly connected component; rounds grow with the logarithm of the longest path, as labels also jump along labels.
+    The result is a table, of ``keep`` where that is given. A round's table goes when the next one is written."""
+    scratch, rounds = Scratch(edge.sparkSession), [Scratch(edge.sparkSession)]
     pairs = scratch.written(edge.select("src", "dst").distinct(), "pairs")
     links = scratch.written(both_ways(simple(pairs)), "links")
     first = links.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
     alone = pairs.filter("src = dst").select(F.col("src").alias("id")).distinct().join(first, "id", "left_anti")
-    label = scratch.written(first.unionByName(alone.withColumn("component", F.col("id"))), "labels")
+    label = rounds[0].written(first.unionByName(alone.withColumn("component", F.col("id"))), "labels")
     while True:
         seen = links.join(label, links["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("m"))
         step = label.join(seen, label["id"] == seen["a"], "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("m"))
         jump = step.join(label.select(F.col("id").alias("m"), F.col("component").alias("j")), "m", "left")
-        new = scratch.written(jump.select("id", F.col("component").alias("was"), F.least("m", F.coalesce("j", "m")).alias("component")), "labels")
+        rounds.append(Scratch(edge.sparkSession))
+        new = rounds[-1].written(jump.select("id", F.col("component").alias("was"), F.least("m", F.coalesce("j", "m")).alias("component")), "labels")
+        rounds.pop(0).drop()
         label = new.select("id", "component")
         if new.filter("was <> component").isEmpty():
-            return scratch.last(label, "components")
+            scratch.drop()
+            out = keep.written(label, "components") if keep else written(label, "components")
+            rounds.pop().drop()
+            return out
 
 
 def component_sizes(edge: DataFrame) -> DataFrame:
@@ -117,53 +124,72 @@ def _distances(inside: DataFrame, links: DataFrame, sources: DataFrame | None) -
 def path_measures(edge: DataFrame) -> DataFrame:
     """One row: average and largest distance within the largest component.
 
-    Where that component has no more than MOST_LINKS links and MOST_NODES nodes, these are counted first, its links go to all tasks, and each
-    task walks from many sources at once: a bit for each source and node, one step an OR along all links.
-    Beyond, distances are found by joins.
+    Where that component has no more than MOST_LINKS links and MOST_NODES nodes, these are counted first, its links go to all tasks as
+    numbers, and each task walks from many sources at once: a bit for each source and node, one step an OR along links.
+    Beyond, the same is done by joins, for a batch of sources after the other, as all pairs would not fit any disk.
     """
-    inside, links = largest_component(edge)
-    nodes, m = inside.count(), links.count()
-    if m <= MOST_LINKS and nodes <= MOST_NODES:
-        return _walked(inside, links, nodes)
-    return _distances(inside, links, None).agg(F.avg("dist").alias("avg_path_length"), F.max("dist").cast("long").alias("diameter"))
+    scratch = Scratch(edge.sparkSession)
+    pairs = scratch.written(edge.select("src", "dst").distinct(), "pairs")
+    label = components(pairs, scratch)
+    largest = label.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
+    inside = label.join(largest, "component", "left_semi").select("id", F.lit(0).alias("all"))
+    number = scratch.written(ranked(inside, "all", ["id"], "n", keep=scratch).select("id", F.col("n").cast("int").alias("n")), "numbers")
+    end = lambda c: number.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    links = scratch.written(simple(pairs).join(end("a"), "a").join(end("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b")), "links")
+    nodes, m = number.count(), 2 * links.count()
+    found = _walked(links, nodes) if m <= MOST_LINKS and nodes <= MOST_NODES else _joined(links, nodes, m)
+    scratch.drop()
+    return found
 
 
-def _walked(inside: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
-    spark = inside.sparkSession
-    ids = inside.toArrow()["id"].combine_chunks()
+def _measured(part: DataFrame) -> DataFrame:
+    found = F.sum("pairs") > 0
+    return part.agg(F.when(found, F.sum("total") / F.sum("pairs")).alias("avg_path_length"), F.when(found, F.max("most")).alias("diameter"))
+
+
+def _walked(links: DataFrame, nodes: int) -> DataFrame:
+    spark = links.sparkSession
     ends = links.toArrow()
-    place = lambda c: pa.compute.index_in(ends[c].combine_chunks(), value_set=ids).to_numpy(zero_copy_only=False).astype(np.int32)
-    a, b = place("a"), place("b")
-    order = np.argsort(a, kind="stable")
-    shared = spark.sparkContext.broadcast((a[order], b[order]))
-    words = int(max(1, min(-(-nodes // 64), TASK_BITS // 64 // max(1, nodes))))
+    walker = paths.Walker(*paths.renumbered(*paths.neighbours(ends["a"].to_numpy(), ends["b"].to_numpy(), nodes)))
+    shared = spark.sparkContext.broadcast(walker)
+    size = 64 * int(max(1, min(-(-nodes // 64), TASK_BITS // 64 // max(1, nodes), MOST_WORDS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = shared.value
-        has, first = np.unique(a, return_index=True)
         for batch in batches:
-            for block in batch.column(0).to_pylist():
-                lo, hi = block * 64 * words, min(nodes, (block + 1) * 64 * words)
-                seen = np.zeros((words, nodes), np.uint64)
-                k = np.arange(hi - lo)
-                np.bitwise_or.at(seen, (k >> 6, lo + k), np.uint64(1) << (k & 63).astype(np.uint64))
-                far, total, pairs, most = seen.copy(), 0, 0, 0
-                step = 0
-                while far.any():
-                    step += 1
-                    new = np.zeros_like(seen)
-                    for w in range(words if len(first) else 0):  # a word at a time keeps what is gathered small
-                        new[w, has] = np.bitwise_or.reduceat(far[w][b], first)
-                    far = new & ~seen
-                    seen |= far
-                    n = int(np.bitwise_count(far).sum())
-                    total, pairs, most = total + n * step, pairs + n, step if n else most
-                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([pairs]), pa.array([most])], ["total", "pairs", "most"])
-
-    blocks = -(-nodes // (64 * words))
-    part = spark.range(0, blocks, 1, max(1, min(blocks, 4096))).mapInArrow(run, "total long, pairs long, most long")
-    found = F.sum("pairs") > 0
-    return part.agg(F.when(found, F.sum("total") / F.sum("pairs")).alias("avg_path_length"), F.when(found, F.max("most")).alias("diameter"))
+            got = [shared.value.walk(k * size, min(nodes, (k + 1) * size)) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], ["total", "pairs", "most"])
+
+    blocks = -(-nodes // size)
+    return _measured(spark.range(0, blocks, 1, max(1, min(blocks, 4096))).mapInArrow(run, "total long, pairs long, most long"))
+
+
+def _joined(links: DataFrame, nodes: int, m: int) -> DataFrame:
+    """By joins: a row has a node and a word of 64 sources. The tables of a step go when the next one is written, and
+    a batch has as many words as keep a step's rows within JOINED_ROWS, one at least."""
+    spark, out = links.sparkSession, []
+    both = both_ways(links)
+    batch = 64 * max(1, JOINED_ROWS // max(1, m))
+    for lo in range(0, nodes, batch):
+        old = Scratch(spark)
+        n = F.col("id")
+        far = spark.range(lo, min(nodes, lo + batch)).select(n.cast("int").alias("id"), F.floor(n / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(id % 64 as int))").alias("bits"))
+        far = seen = old.written(far, "far")
+        step = 0
+        while True:
+            step += 1
+            new, scratch = far.join(both, far["id"] == both["a"]).groupBy(F.col("b").alias("id"), "word").agg(F.bit_or("bits").alias("new")), Scratch(spark)
+            step_rows = seen.join(new, ["id", "word"], "full").withColumn("bits", F.coalesce("bits", F.lit(0)))
+            step_rows = step_rows.withColumn("new", F.coalesce(F.col("new").bitwiseAND(F.bitwise_not("bits")), F.lit(0)))
+            rows = scratch.written(step_rows.select("id", "word", F.col("bits").bitwiseOR(F.col("new")).alias("bits"), "new"), "seen")
+            old.drop()
+            old, seen = scratch, rows.select("id", "word", "bits")
+            count = rows.agg(F.sum(F.bit_count("new").cast("long"))).first()[0]
+            if not count:
+                break
+            far = rows.filter("new <> 0").select("id", "word", F.col("new").alias("bits"))
+            out.append((count * step, count, step))
+        old.drop()
+    return _measured(spark.createDataFrame(out, "total long, pairs long, most long"))
 
 
 def clustering(edge: DataFrame) -> DataFrame:

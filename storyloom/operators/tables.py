@@ -50,14 +50,14 @@ class Scratch:
         self.paths.clear()
 
 
-def ranked(df: DataFrame, by: str, order: list[str], rank: str, total: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, by: str, order: list[str], rank: str, total: str | None = None, keep: Scratch | None = None) -> DataFrame:
     """The rows with their rank from 0 within ``by``, in order, and how many there are: a group of any size is dealt over all tasks.
 
     Rows are range-partitioned by group and order and written with their part; what comes before a part in a group
-    is a sum over the group's parts, of which there are no more than tasks. Pass few columns: all that come are sorted.
+    is a sum over the group's parts, of which there are no more than tasks. Pass few columns: all that come are sorted. The table is one of ``keep`` where that is given.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = written(df.repartitionByRange(n, by, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    parts = (keep.written if keep else written)(df.repartitionByRange(n, by, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     here = parts.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     w = W.partitionBy(by).orderBy("_part")
     before = here.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(by)).alias("_total"))

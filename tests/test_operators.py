@@ -1,8 +1,11 @@
 """Hand-made cases and invariants."""
 
+import itertools
 import json
+import random
 from urllib.parse import unquote
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +13,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators import chunk, entity, graph, ingest, metrics, model, profile, quality, synth, viz
+from storyloom.operators import chunk, entity, graph, ingest, metrics, model, paths, profile, quality, synth, tables, viz
 from storyloom import ingest as ingest_run
 from storyloom import run
 from storyloom.operators.tables import ranked
@@ -306,8 +309,6 @@ def test_names_by_words_where_there_are_too_many(spark, monkeypatch):
 
 
 def test_paths_by_walks_and_by_joins(spark, monkeypatch):
-    import random
-
     rng = random.Random(5)
     rows = [(f"n{rng.randrange(150)}", "K", f"n{rng.randrange(150)}", 0.9, EV) for _ in range(170)]
     e = graph.edges(triples(spark, *rows))
@@ -426,3 +427,37 @@ def test_texts_stay_out_of_the_ranking_of_hits(spark):
     assert {tuple(r) for r in got.select("name", "passage_id", "rank", "used").collect()} == {tuple(r) for r in thick.collect()}
     assert "text" not in got.columns and "text" in profile.with_texts(got, p).columns
     assert "text" not in registry._hits(spark, "/root/testdata/sf0.001").columns
+
+
+def test_walks_from_many_sources(monkeypatch):
+    """Hubs beyond the widest group, several words of sources, a long chain."""
+    rng = random.Random(8)
+    links = {tuple(sorted((rng.randrange(300), rng.randrange(300)))) for _ in range(420)} | {(0, k) for k in range(1, 280)} | {(k, k + 1) for k in range(299, 340)}
+    a, b = np.array([x for x in links if x[0] != x[1]], np.int32).T
+    near = {}
+    for x, y in zip(a.tolist(), b.tolist()):
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    dist = []
+    for s in near:
+        far, level = {s: 0}, [s]
+        while level:
+            level = [y for x in level for y in near[x] if y not in far and not far.__setitem__(y, far[x] + 1)]
+        dist += [d for d in far.values() if d]
+    monkeypatch.setattr(paths, "ROWS", 16)
+    w = paths.Walker(*paths.renumbered(*paths.neighbours(a, b, 341)))
+    assert w.alone
+    for size in (64, 130, 341):
+        got = [w.walk(lo, min(341, lo + size)) for lo in range(0, 341, size)]
+        assert (sum(x[0] for x in got), sum(x[1] for x in got), max(x[2] for x in got)) == (sum(dist), len(dist), max(dist))
+
+
+def test_paths_leave_no_tables(spark, monkeypatch, tmp_path):
+    """Neither the links nor the distances of all pairs stay on disk, whichever way is taken."""
+    monkeypatch.setattr(tables, "shared_dir", lambda spark, name, n=itertools.count(): f"{tmp_path}/{name}-{next(n)}")
+    e = graph.edges(triples(spark, *((f"n{k:03}", "K", f"n{k + 1:03}", 0.9, EV) for k in range(69))))
+    want = (pytest.approx(71 / 3), 69)
+    assert tuple(graph.path_measures(e).first()) == want and not list(tmp_path.iterdir())
+    monkeypatch.setattr(graph, "MOST_LINKS", 1)
+    monkeypatch.setattr(graph, "JOINED_ROWS", 1)  # two batches of sources
+    assert tuple(graph.path_measures(e).first()) == want and not list(tmp_path.iterdir())
