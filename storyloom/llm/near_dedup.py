@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyloom.llm.arrow import as_binary, byte_offsets, pieces
+from storyloom.llm.arrow import as_binary, byte_offsets, lean, pieces
 from storyloom.llm.common import Scratch, documents
 from storyloom.llm.graph import components, with_group
 from storyloom.llm.spans import hash_spans, mix, word_spans
@@ -95,7 +95,7 @@ def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["counter", "n"])
 
-    got = df.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    got = df.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(1 << DF_BITS)
     n[got["counter"].to_numpy()] = got["n"].to_numpy()
     return n, df.count()
@@ -171,7 +171,7 @@ def signatures(df: DataFrame, idf) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(bands[full].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), pa.array(size), lists], ["id", "doc_id", "k1", "k2", "weight", "size", "bands"])
 
-    return df.mapInArrow(run, SIGNED)
+    return df.mapInArrow(lean(run), SIGNED)
 
 
 def shingle_sets(df: DataFrame, wanted=None) -> DataFrame:
@@ -187,7 +187,7 @@ def shingle_sets(df: DataFrame, wanted=None) -> DataFrame:
             ends = np.searchsorted(text, np.arange(1, len(b) + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), as_binary(ends, h), as_binary(ends, np.minimum(tf, 65535).astype(np.uint16))], ["node", "hashes", "counts"])
 
-    return df.mapInArrow(run, "node long, hashes binary, counts binary")
+    return df.mapInArrow(lean(run), "node long, hashes binary, counts binary")
 
 
 def _slots(nodes: np.ndarray, bits: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def node_filter(nodes: DataFrame) -> np.ndarray | None:
                 value = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], ["word", "bits"])
 
-    got = nodes.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = nodes.mapInArrow(lean(run), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits >> 6, np.uint64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
@@ -235,7 +235,7 @@ def similarities(pairs: DataFrame, sets: DataFrame, idf) -> DataFrame:
 
     side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"), F.col("counts").alias(f"c{k}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "ca", "hb", "cb")
-    return met.mapInArrow(run, "a long, b long, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
+    return met.mapInArrow(lean(run), "a long, b long, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
 def centre_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -341,7 +341,7 @@ def block_links(dealt: DataFrame, sets: DataFrame, idf, threshold: float) -> Dat
             yield _links(links)
 
     x = dealt.join(sets, "node").select("gid", "side", "class", "hashes", "counts").repartition("gid").sortWithinPartitions("gid")
-    return x.mapInArrow(run, "a long, b long").distinct()
+    return x.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -732,3 +732,14 @@ def test_empty_tables_of_the_others(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert fingerprint.with_next(df, "doc_id", "text", ["text"]).count() == 0
     assert bpe.round_trip(df, bpe.default_tokenizer(), bpe.build_lexicon(df, bpe.default_tokenizer())).count() == 0
+
+
+def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
+    from storyloom.llm import arrow
+
+    done = []
+    monkeypatch.setattr(arrow, "give_back", lambda: done.append(1))
+    assert list(arrow.lean(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2] and done == [1]
+    with pytest.raises(ZeroDivisionError):
+        list(arrow.lean(lambda batches: (1 // b for b in batches))(iter([0])))
+    assert done == [1, 1]
