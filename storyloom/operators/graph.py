@@ -121,8 +121,8 @@ def _distances(inside: DataFrame, links: DataFrame, sources: DataFrame | None) -
     return found.filter("dist > 0")
 
 
-def path_measures(edge: DataFrame) -> DataFrame:
-    """One row: average and largest distance within the largest component.
+def path_measures(edge: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """One row: average and largest distance within the largest component; ``label`` has the components where they are known.
 
     Where that component has no more than MOST_LINKS links and MOST_NODES nodes, these are counted first, its links go to all tasks as
     numbers, and each task walks from many sources at once: a bit for each source and node, one step an OR along links.
@@ -130,7 +130,7 @@ def path_measures(edge: DataFrame) -> DataFrame:
     """
     scratch = Scratch(edge.sparkSession)
     pairs = scratch.written(edge.select("src", "dst").distinct(), "pairs")
-    label = components(pairs, scratch)
+    label = components(pairs, scratch) if label is None else label
     largest = label.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
     inside = label.join(largest, "component", "left_semi").select("id", F.lit(0).alias("all"))
     number = scratch.written(ranked(inside, "all", ["id"], "n", keep=scratch).select("id", F.col("n").cast("int").alias("n")), "numbers")

@@ -83,11 +83,12 @@ def graph_quality(edge: DataFrame) -> list[DataFrame]:
     """One-row DataFrames: components, clustering over all nodes, assortativity, and paths in the largest component."""
     from storyloom.operators import graph
 
+    label = graph.components(edge)
     return [
-        graph.component_sizes(edge).agg(F.count("*").alias("n_components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component")),
+        label.groupBy("component").agg(F.count("*").alias("size")).agg(F.count("*").alias("n_components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component")),
         graph.clustering(edge).agg(F.avg("clustering").alias("avg_clustering")),
         graph.assortativity(edge),
-        graph.path_measures(edge),
+        graph.path_measures(edge, label),
     ]
 
 

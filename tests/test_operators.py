@@ -461,3 +461,10 @@ def test_paths_leave_no_tables(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(graph, "MOST_LINKS", 1)
     monkeypatch.setattr(graph, "JOINED_ROWS", 1)  # two batches of sources
     assert tuple(graph.path_measures(e).first()) == want and not list(tmp_path.iterdir())
+
+
+def test_evaluation_finds_components_once(spark, monkeypatch):
+    calls, found = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda *a: calls.append(1) or found(*a))
+    parts = metrics.graph_quality(path_graph(spark)[1])
+    assert len(calls) == 1 and tuple(parts[0].first()) == (2, 4) and tuple(parts[3].first()) == (pytest.approx(10 / 6), 3)
