@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.arrow import as_binary, byte_offsets, pieces
+from storyloom.llm.arrow import as_binary, byte_offsets, lean, pieces
 from storyloom.llm.bytebpe import ByteBPE, composed_lower, known_texts, lower_word_spans, lowered, parts, plain, special_tokens
 from storyloom.llm.common import SPACE_CLASS, documents
 from storyloom.llm.spans import WordTable
@@ -210,7 +210,7 @@ def pack(df: DataFrame, tokenizer: str, size: int = SIZE, block: int = BLOCK, en
         if count:
             yield from solve(*held)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def default_tokenizer() -> str:

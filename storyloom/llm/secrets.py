@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.arrow import pieces
+from storyloom.llm.arrow import lean, pieces
 from storyloom.llm.common import documents
 
 #: The kinds in order, their patterns and least lengths.
@@ -352,7 +352,7 @@ def scan(df: DataFrame) -> DataFrame:
             base, spans, layers, refused = zip(*got, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), _rows(base), _rows(spans), pa.array(layers, pa.int64()), pa.array(refused, pa.int64())], ["doc_id", "base", "spans", "n_layers", "n_refused"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, base {SPANS}, spans {SPANS}, n_layers long, n_refused long")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id long, base {SPANS}, spans {SPANS}, n_layers long, n_refused long")
 
 
 def redact(df: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def redact(df: DataFrame) -> DataFrame:
             texts = [t if t is None else redacted(t, scan_text(t)[1]) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

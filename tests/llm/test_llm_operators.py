@@ -743,3 +743,20 @@ def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
     with pytest.raises(ZeroDivisionError):
         list(arrow.lean(lambda batches: (1 // b for b in batches))(iter([0])))
     assert done == [1, 1]
+
+
+def test_secret_scan_and_packing_give_memory_back(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pyspark import TaskContext
+
+    from storyloom.llm import arrow
+
+    df, ran, done = spark.createDataFrame([], "doc_id long, text string"), [], []
+    monkeypatch.setattr(arrow, "give_back", lambda: done.append(1))
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: ran.append(run))
+    secrets.scan(df), secrets.redact(df), packing.pack(df, packing.default_tokenizer())
+    for k, run in enumerate(ran, 1):
+        assert list(run(iter([]))) == [] and len(done) == k
+    assert len(ran) == 3
