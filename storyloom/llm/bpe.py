@@ -125,7 +125,7 @@ class TextEncoder:
         if not len(data):
             return np.zeros(len(offsets) - 1, np.int64), np.empty(0, np.uint32)
         starts, ends, first = spaced_word_spans(offsets, data)
-        length, ids = self.table.ids.take(self.table.rows(data, starts, ends))
+        length, ids = self.table.take(data, starts, ends)
         return np.diff(np.concatenate([[0], np.cumsum(length)])[first]), ids
 
 

@@ -98,7 +98,7 @@ class TextEncoder:
         starts, ends, first = lower_word_spans(offsets, data)
         if not len(starts):
             return np.zeros(len(offsets) - 1, np.int64), np.empty(0, np.uint32), np.empty(0, bool)
-        length, ids = self.table.ids.take(self.table.rows(data, starts, ends))
+        length, ids = self.table.take(data, starts, ends)
         total = np.concatenate([[0], np.cumsum(length)])
         stop = np.zeros(len(ids), bool)
         # the next word doesn't touch this one

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from storyloom.llm.arrow import Ragged
+from storyloom.llm.arrow import Ragged, gather
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -69,50 +69,77 @@ def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(end), np.searchsorted(starts, offsets)
 
 
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether a[start:start + length] and b[start:start + length] hold the same bytes, for each span. Works on about _STEP bytes at once."""
+    out, total, at = np.ones(len(length), bool), np.cumsum(length), 0
+    while at < len(length):
+        base = int(total[at] - length[at])
+        to = max(at + 1, int(np.searchsorted(total, base + _STEP, side="right")))
+        if to == at + 1:
+            i, j, n = int(a_start[at]), int(b_start[at]), int(length[at])
+            out[at] = np.array_equal(a[i : i + n], b[j : j + n])
+        else:
+            part = slice(at, to)
+            other = np.flatnonzero(gather(a_start[part], length[part], a) != gather(b_start[part], length[part], b))
+            out[at + np.searchsorted(total[part] - base, other, side="right")] = False
+        at = to
+    return out
+
+
 class WordTable:
-    """Ids of words that were seen before, by two 64-bit hashes; new ones are encoded by the function given.
+    """Ids of words that were seen before, found by a 64-bit hash; new ones are encoded by the function given.
 
-    A second hash stands guard: a word whose first hash another word has taken is
-    encoded by itself. Beyond ``most`` words the table starts anew.
+    The table holds the words too, and a hash counts only where the bytes are equal: two
+    words can be made to share any hash of this kind. A word whose hash another word has
+    taken is found in a dictionary. Beyond ``most`` words or ``most_bytes`` the table starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000, most_bytes: int = 1 << 25) -> None:
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.h1, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.h2 = np.empty(0, np.uint64)
-        self.ids = Ragged(np.uint32)
+        self.hash, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.clashing: dict[bytes, int] = {}
+        self.words, self.ids = Ragged(np.uint8), Ragged(np.uint32)
 
-    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def take(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each span, and all ids."""
+        row = self._rows(data, starts, ends)  # first, as the table may start anew
+        return self.ids.take(row)
+
+    def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's row of each span."""
-        h1, h2 = hash_spans(data, starts, ends)
-        u, first, back = np.unique(h1, return_index=True, return_inverse=True)
-        v = h2[first]
-        if len(self.h1) + len(u) > self.most:
+        u, first, back = np.unique(hash_spans(data, starts, ends, 1)[0], return_index=True, return_inverse=True)
+        if self.words.rows + len(u) > self.most or self.words.n > self.most_bytes:
             self.clear()
-        at = np.searchsorted(self.h1, u)
-        old = at < len(self.h1)
-        old[old] = self.h1[at[old]] == u[old]
+        at = np.searchsorted(self.hash, u)
+        old = at < len(self.hash)
+        old[old] = self.hash[at[old]] == u[old]
         row = np.full(len(u), -1, np.int64)
         row[old] = self.row[at[old]]
-        odd = (v[back] != h2) | ((row >= 0) & (self.h2[row] != v))[back] if len(self.h2) else v[back] != h2
         if not old.all():
             new = np.flatnonzero(~old)
-            row[new] = self._add(data, starts[first[new]], ends[first[new]], v[new])
+            row[new] = self._add(_cut(data, starts[first[new]], ends[first[new]]))
             where = at[new]
-            self.h1, self.row = np.insert(self.h1, where, u[new]), np.insert(self.row, where, row[new])
-        out = row[back]
-        if odd.any():  # another word with the same first hash
-            out = out.copy()
-            out[odd] = self._add(data, starts[odd], ends[odd], h2[odd])
+            self.hash, self.row = np.insert(self.hash, where, u[new]), np.insert(self.row, where, row[new])
+        out, length = row[back], ends - starts
+        same = self.words.length[out] == length
+        same[same] = same_spans(data, starts[same], self.words.flat, self.words.start[out[same]], length[same])
+        if not same.all():
+            words = _cut(data, starts[~same], ends[~same])
+            if new := [w for w in dict.fromkeys(words) if w not in self.clashing]:
+                self.clashing.update(zip(new, self._add(new).tolist(), strict=True))
+            out[~same] = [self.clashing[w] for w in words]
         return out
 
-    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        raw = data.tobytes()
-        lengths, values = self.encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    def _add(self, words: list[bytes]) -> np.ndarray:
         n = self.ids.rows
-        self.ids.extend(lengths, values)
-        self.h2 = np.concatenate([self.h2, h2])
-        return np.arange(n, n + len(starts))
+        self.ids.extend(*self.encode(words))
+        self.words.extend(np.fromiter(map(len, words), np.int64, len(words)), np.frombuffer(b"".join(words), np.uint8))
+        return np.arange(n, n + len(words))
+
+
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

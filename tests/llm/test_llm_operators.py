@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from storyloom.llm import bpe, fingerprint, line_dedup, lm, near_dedup, packing, pii, quality_rules, secrets, substring_dedup
+from storyloom.llm import bpe, fingerprint, line_dedup, lm, near_dedup, packing, pii, quality_rules, secrets, spans, substring_dedup
 from storyloom.llm.bytebpe import ByteBPE
 from storyloom.llm.common import written
 from storyloom.llm.lexicon import Lexicon, compile_lexicon
@@ -634,6 +634,63 @@ def test_all_scripts_as_the_library_does(tmp_path, seed):
         assert ("tokenizer" in vars(byte)) is new and ("tokenizer" in vars(word)) is new
 
 
+def thue_morse(n, a, b):
+    """Two words of n letters, a's and b's the other way round, that share every polynomial hash modulo 2**64 from n = 1,024 on."""
+    word = "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+    return word, word.translate(str.maketrans(a + b, b + a))
+
+
+def test_words_of_equal_hashes_keep_their_own_ids(spark, tmp_path):
+    one, two = thue_morse(1024, "a", "b")
+    more = thue_morse(4096, "д", "ж")
+    texts = [one, two, f"the {one} the {two} {one}", f"{two} {one}", *more, " ".join(more), one + two, None, "the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(bpe.default_tokenizer())
+    want = set()
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert {tuple(r) for r in bpe.query(spark, str(tmp_path)).collect()} == want
+    t, words = Tokenizer.from_file(packing.default_tokenizer()), packing.TextEncoder(packing.default_tokenizer())
+    for some in (texts[:3], texts):
+        n, ids, _ = words.encode(pa.array(some, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in some]
+
+
+def test_more_words_than_a_worker_keeps(tmp_path):
+    """The table of words starts anew between one batch and the next."""
+    rng, path = random.Random(6), bpe.default_tokenizer()
+    (tmp_path / "lexicon").write_bytes(compile_lexicon([b" the"], *ByteBPE(path).encode([b" the"])))
+    for ours, library in ((bpe.TextEncoder(path, str(tmp_path / "lexicon")), path), (packing.TextEncoder(packing.default_tokenizer()), packing.default_tokenizer())):
+        ours.table.most, t = 50, Tokenizer.from_file(library)
+        for _ in range(10):
+            some = ["the " + " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(8)) for _ in range(3)]
+            n, ids, *_ = ours.encode(pa.array(some))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in some]
+
+
+@pytest.mark.parametrize("hashes", [1, 3, 1 << 60])
+def test_word_table_under_any_hash(monkeypatch, hashes):
+    monkeypatch.setattr(spans, "hash_spans", lambda data, starts, ends, n=2: [np.array([zlib.crc32(data[a:b].tobytes()) % hashes for a, b in zip(starts, ends, strict=True)], np.uint64)] * n)
+    monkeypatch.setattr(spans, "_STEP", 40)
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return np.fromiter(map(len, words), np.int64, len(words)), np.frombuffer(b"".join(words), np.uint8).astype(np.uint32)
+
+    rng = random.Random(5)
+    for most, most_bytes in ((1_000_000, 1 << 25), (30, 1 << 25), (1_000_000, 60)):
+        table = spans.WordTable(encode, most, most_bytes)
+        asked.clear()
+        for _ in range(30):
+            words = ["".join(rng.choices("ab", k=rng.choice([1, 2, 2, 3, 60]))).encode() for _ in range(rng.randint(1, 20))]
+            ends = np.cumsum([len(w) for w in words])
+            n, ids = table.take(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+            assert n.tolist() == [len(w) for w in words] and ids.astype(np.uint8).tobytes() == b"".join(words)
+        assert most_bytes == 60 or most == 30 or len(asked) == len(set(asked))  # none is encoded twice
+
+
 def test_lexicon(tmp_path):
     rng = random.Random(8)
     words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 6))).encode() for _ in range(300)} | {b"", "é".encode()})
